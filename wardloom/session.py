@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +30,37 @@ def build_session(app: str = "wardloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable ``checkpoint()``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where none is set (tests on one machine)
-    a temporary folder is chosen.
+    Only where none is set (tests on one machine) a temporary folder is chosen.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back, so that its lineage ends there.
+
+    Later stages read columns of it again instead of computing it again, also when an executor is lost.
+    The table is deleted when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/wardloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; the folder is the cluster's own temporary one
+        pass
 
 
 def parallelism(df: DataFrame, least: int = 1) -> int:
