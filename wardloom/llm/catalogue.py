@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import lookalike, neardup
-from wardloom.sources.tables import audit_events
+from wardloom.llm import lookalike, neardup, pii
+from wardloom.sources.tables import audit_events, table
 
 
 def prompts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
@@ -14,6 +14,25 @@ def prompts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return audit_events(spark, folder, ["input_prompt", *more]).where("input_prompt is not null")
 
 
+# ---- problem 3
+
+
+def _names(spark: SparkSession, folder: str) -> pii.Names:
+    return pii.names_of(spark, table(spark, folder, "name_lexicon"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value found in a prompt, once per event and kind."""
+    found = pii.find_pii(prompts(spark, folder), "input_prompt", _names(spark, folder))
+    rows = found.select("event_id", F.explode(F.array_distinct(F.transform("pii", lambda x: F.struct(x["pii_kind"].alias("pii_kind"), x["pii_text"].alias("pii_text"))))).alias("x"))
+    return rows.select("event_id", "x.pii_kind", "x.pii_text")
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prompt with typed placeholders in place of what was found."""
+    return pii.redact_pii(prompts(spark, folder), "input_prompt", _names(spark, folder)).select("event_id", "redacted")
+
+
 # ---- problem 4
 
 
@@ -50,5 +69,5 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(table.select("event_id", "user_id"), "event_id").select("event_id", F.col("group").alias("group_id"), "user_id", "copies")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {}
