@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import lookalike, neardup, pii
+from wardloom.llm import bpe, lookalike, neardup, packing, pii, topics
+from wardloom.session import cut
 from wardloom.sources.tables import audit_events, table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all of the cluster's slots where its files are fewer (CPU-bound work follows)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
 def prompts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """event_id, input_prompt (not null) and ``more`` of audit_events, one row per event, spread out."""
     return audit_events(spark, folder, ["input_prompt", *more]).where("input_prompt is not null")
@@ -38,12 +45,12 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every prompt in its one form."""
-    return lookalike.with_form(prompts(spark, folder), "input_prompt").select("event_id", "form")
+    return lookalike.with_form(cut(prompts(spark, folder)), "input_prompt").select("event_id", "form")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of events whose prompts look the same but are not made of the same characters."""
-    formed = lookalike.with_form(prompts(spark, folder), "input_prompt")
+    formed = lookalike.with_form(cut(prompts(spark, folder)), "input_prompt")
     return lookalike.same_look_pairs(formed, "event_id", "input_prompt", "form")
 
 
@@ -51,8 +58,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _edited(spark: SparkSession, folder: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    events = prompts(spark, folder, *more)
-    table = lookalike.cut(neardup.word_table(events, "event_id", "input_prompt", list(more), 40))
+    events = cut(prompts(spark, folder, *more))
+    table = cut(neardup.word_table(events, "event_id", "input_prompt", list(more), 40))
     return (table, *neardup.near_duplicates(table, "event_id", n_words=3, threshold=0.6))
 
 
@@ -69,5 +76,56 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(table.select("event_id", "user_id"), "event_id").select("event_id", F.col("group").alias("group_id"), "user_id", "copies")
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_groups": p6_groups}
+# ---- problems 7 and 8
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode_texts(spread(documents(spark, folder)), "doc_id", "text", "byte_bpe_50k")
+
+
+def p7_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of tokens of every document, and whether its ids give the text back."""
+    texts = spread(documents(spark, folder))
+    ids = bpe.encode_texts(texts, "doc_id", "text")
+    back = bpe.decode_ids(ids, "doc_id").withColumnRenamed("text", "again")
+    same = F.coalesce("text", F.lit("")) == F.col("again")
+    return texts.join(back, "doc_id").join(ids, "doc_id").select("doc_id", F.size("ids").alias("n_tokens"), same.alias("gives_back"))
+
+
+def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in windows of each capacity."""
+    sizes = cut(bpe.count_tokens(spread(documents(spark, folder)), "doc_id", "text"))
+    return packing.pack(sizes, table(spark, folder, "context_windows"), "doc_id")
+
+
+# ---- problem 9
+
+
+def _topic_model(spark: SparkSession, folder: str) -> tuple[DataFrame, topics.Model]:
+    texts = spread(documents(spark, folder))
+    words = list(topics.vocabulary(texts, "text"))
+    bags = cut(topics.word_ids(texts, "doc_id", "text", words))
+    subjects = sorted(r.subject for r in table(spark, folder, "subject_areas").select("subject").distinct().limit(1000).collect())
+    return bags, topics.fit(bags, "doc_id", words, subjects)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that about a fifth or more of a document's sentences are about."""
+    bags, model = _topic_model(spark, folder)
+    return topics.assign(bags, "doc_id", model).select("doc_id", "subject")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each subject in the corpus: documents that have it, and mean proportion among them."""
+    bags, model = _topic_model(spark, folder)
+    found = topics.assign(bags, "doc_id", model)
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.avg("proportion").alias("mean_proportion"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {}

@@ -83,23 +83,24 @@ def _plain(code: int) -> str | None:
 
 
 class _Table(dict):
-    """Character table for str.translate that works out its entries as they are met."""
+    """Character table for str.translate that works out its entries as they are met: steps 1 and 2 at once."""
 
-    def __missing__(self, code: int) -> int | str:
-        self[code] = value = code if (p := _plain(code)) is None else p
+    def __missing__(self, code: int) -> str:
+        plain = chr(code) if (p := _plain(code)) is None else p
+        self[code] = value = unicodedata.normalize("NFD", plain).translate(_SKELETON)
         return value
 
 
 _TABLE = _Table()
-_CLEAN_ASCII = re.compile("[\x00-\x08\x0b-\x1f\x7f]").search
+_CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f]").search
 _PICTOGRAPH = "[\u2190-\u2bff\U0001f000-\U0001faff]"
 _JOINER = re.compile(f"{_PICTOGRAPH}[\ufe00-\ufe0f\U0001f3fb-\U0001f3ff]*\u200d(?={_PICTOGRAPH})")
 
 
-def compatible(text: str) -> str:
-    """Step 1, in decomposed form (NFD)."""
-    if text.isascii():
-        return text if not _CLEAN_ASCII(text) else text.replace("\r\n", "\n").translate(_TABLE)
+def skeleton(text: str) -> str:
+    """Steps 1 and 2, in decomposed form (NFD), classes written as their Latin letter."""
+    if text.isascii() and not _CONTROL(text):
+        return text
     text = text.replace("\r\n", "\n")
     if _ZWJ in text:
         # the joiner between pictographs can be seen: it makes one sign of two
@@ -112,12 +113,6 @@ def compatible(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_TABLE))
 
 
-def skeleton(text: str) -> str:
-    """Steps 1 and 2, in decomposed form, classes written as their Latin letter."""
-    text = compatible(text)
-    return text if text.isascii() else text.translate(_SKELETON)
-
-
 # ---- step 3
 
 BETWEEN, INSIDE, UNSEEN = 4.0, 12.0, -9.0

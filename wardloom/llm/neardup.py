@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.llm.lookalike import Bigrams, bigram_counts, canonical
@@ -50,7 +50,7 @@ class Forest:
         odd = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.n_words, self.trees, self.depth = n_words, trees, depth
         self.place = odd(n_words)
-        self.a, self.b = odd(trees * depth), odd(trees * depth)
+        self.a, self.b = (odd(trees * depth) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), odd(trees * depth).astype(np.uint32)
         self.join, self.tree = odd(depth), odd(trees)
         self.hashes: dict[str, int] = {}
 
@@ -79,12 +79,12 @@ class Forest:
 
     def keys(self, words: list[str]) -> np.ndarray:
         """One 64-bit key per tree: the hash of the tree and its prefix."""
-        s = self.shingles(words)
+        s = (self.shingles(words) >> np.uint64(32)).astype(np.uint32)
         least = None
         for at in range(0, len(s), 4096):  # memory stays bounded for very long texts
             part = (s[at : at + 4096, None] * self.a + self.b).min(axis=0)
             least = part if least is None else np.minimum(least, part)
-        least = (least >> np.uint64(20)).reshape(self.trees, self.depth)
+        least = least.astype(np.uint64).reshape(self.trees, self.depth)
         key = (least * self.join).sum(axis=1, dtype=np.uint64) + self.tree
         key ^= key >> np.uint64(31)
         key *= np.uint64(0x94D049BB133111EB)
@@ -130,9 +130,8 @@ def candidates(nodes: DataFrame, n_words: int, trees: int, depth: int) -> DataFr
 
     The keys are shuffled once; keys that only one node has are dropped before anything is joined.
     """
-    keys = forest_keys(nodes, n_words, trees, depth).repartition(F.col("k"))
-    several = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    shared = cut(keys.join(several, "k", "left_semi"))
+    keys = forest_keys(nodes, n_words, trees, depth)
+    shared = cut(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("n > 1").select("k", "id"))
     left, right = shared.select("k", F.col("id").alias("a")), shared.select("k", F.col("id").alias("b"))
     return left.join(right, "k").where("a < b").select("a", "b").distinct()
 
