@@ -108,8 +108,8 @@ def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _topic_model(spark: SparkSession, folder: str) -> tuple[DataFrame, topics.Model]:
     texts = spread(documents(spark, folder))
-    words = list(topics.vocabulary(texts, "text"))
-    bags = cut(topics.word_ids(texts, "doc_id", "text", words))
+    words = topics.vocabulary(texts, "text")
+    bags = cut(topics.word_ids(texts, "doc_id", "text", list(words)))
     subjects = sorted(r.subject for r in table(spark, folder, "subject_areas").select("subject").distinct().limit(1000).collect())
     return bags, topics.fit(bags, "doc_id", words, subjects)
 

@@ -16,7 +16,7 @@ Everything that reaches the driver is bounded by vocabulary x topics.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,13 +39,14 @@ INSPECTED_TERMS = {
     "education": "lecturer textbook pupil teacher homework exam semester curriculum scholarship thesis classroom tutor syllabus diploma lesson schüler lehrer prüfung hausaufgabe unterricht élève cours devoir examen alumno libro texto tarea profesor",
     "cooking": "baker chef dough garlic oven simmered recipe soup saffron marinade roast vinegar pastry whisked skillet teig ofen pfanne gewürz suppe recette pâte four bouillon épice receta horno masa sopa ajo",
 }
-# Words that have a place in every text of a language, one group of them per language.
+# Words that nearly every text of a language has, one line per language.
 COMMON_TERMS = (
-    "the and that it in of for said",
-    "der die das und nicht mit aber wäre",
-    "le la les et pas mais pourquoi été",
-    "el los y pero no qué por sin",
+    "the and that it in of for said this with",
+    "der die das und nicht mit aber ist ein zu",
+    "le la les et pas mais est une pour des",
+    "el los las y pero no qué por una con",
 )
+_LANGUAGES = tuple(frozenset(line.split()) for line in COMMON_TERMS)
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"(?<=[.!?…。])\s+|[\r\n]+").split
@@ -55,47 +56,69 @@ STOP = -1
 
 @dataclass(frozen=True)
 class Settings:
-    """``least_docs`` and ``most_words`` bound the vocabulary, ``common`` is the share of documents above
-    which a word says nothing, ``free`` the number of topics without inspected terms."""
+    """``least_docs`` and ``most_words`` bound the vocabulary, ``common`` is the share of a language's documents
+    above which a word says nothing, ``free`` the number of topics without inspected terms."""
 
     least_docs: int = 3
     most_words: int = 50_000
     common: float = 0.25
-    free: int = 4
+    free: int = 1
     rounds: int = 4
     inner: int = 2
-    alpha: float = 0.2
+    alpha: float = 0.1
     eta: float = 0.01
-    seed_weight: float = 0.02
+    seed_weight: float = 0.05
+
+
+def language_of(words: set[str]) -> int:
+    """The language whose common words a text has most of, by number; -1 for fewer than two of any."""
+    hits = [len(words & common) for common in _LANGUAGES]
+    most = max(hits)
+    return hits.index(most) if most > 1 else -1
 
 
 def vocabulary(docs: DataFrame, text: str, settings: Settings = Settings()) -> dict[str, int]:
     """Document frequencies of the vocabulary's words over all documents.
 
-    Words in fewer than ``least_docs`` documents or in more than the share ``common`` are left out; of
-    the others the ``most_words`` most frequent ones count, ties by the word.
+    Words in fewer than ``least_docs`` documents, or in more than the share ``common`` of the documents of
+    one language (told by its commonest words), are left out; of the others the ``most_words`` most
+    frequent ones count, ties by the word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(words: Counter, n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), pa.array([*words.values(), n], pa.int64())], names=["word", "n"])
+        def pack(by_language: dict[int, Counter]) -> pa.RecordBatch:
+            rows = [(lang, w, n) for lang, words in by_language.items() for w, n in words.items()]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
-        words: Counter = Counter()
-        docs_seen = 0
+        counts: dict[int, Counter] = defaultdict(Counter)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    docs_seen += 1
-                    words.update(set(_WORD(t.lower())))
-            if len(words) > 500_000:
-                yield pack(words, docs_seen)
-                words, docs_seen = Counter(), 0
-        yield pack(words, docs_seen)
-
-    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") >= settings.least_docs) | (F.col("word") == "")).orderBy((F.col("word") != ""), F.desc("n"), "word").limit(settings.most_words + 1).collect()
-    total = sum(r.n for r in rows if r.word == "")
-    return {r.word: r.n for r in rows if r.word and r.n <= max(settings.common * total, settings.least_docs)}
+                    words = set(_WORD(t.lower()))
+                    words.add("")  # counts the documents
+                    counts[language_of(words)].update(words)
+            if sum(map(len, counts.values())) > 500_000:
+                yield pack(counts)
+                counts.clear()
+        yield pack(counts)
+
+    by_language = docs.select(text).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    totals = {r.lang: r.n for r in by_language.where("word = ''").collect()}
+    limit = F.lit(None).cast("double")
+    for lang, n in totals.items():
+        if lang >= 0:
+            limit = F.when(F.col("lang") == lang, F.lit(max(settings.common * n, float(settings.least_docs)))).otherwise(limit)
+    rows = (
+        by_language.where("word <> ''")
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"), F.max(F.coalesce(F.col("n") > limit, F.lit(False))).alias("common"))
+        .where(~F.col("common") & (F.col("n") >= settings.least_docs))
+        .orderBy(F.desc("n"), "word")
+        .limit(settings.most_words)
+        .collect()
+    )
+    return {r.word: r.n for r in rows}
 
 
 def word_ids(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -138,17 +161,15 @@ class Model:
     settings: Settings
 
 
-def _prior(words: list[str], subjects: list[str], settings: Settings) -> np.ndarray:
-    """Dirichlet parameters words x topics: one topic per subject, per language of common words, and free ones."""
+def _seeds(words: list[str], subjects: list[str], settings: Settings) -> np.ndarray:
+    """Words x topics: each subject's inspected terms with equal weights that add up to 1; free topics have none."""
     index = {w: i for i, w in enumerate(words)}
-    lists = [INSPECTED_TERMS.get(s, s) for s in subjects] + list(COMMON_TERMS)
-    k = len(lists) + settings.free
-    prior = np.full((len(words), k), settings.eta)
-    for j, terms in enumerate(lists):
-        for w in _WORD(terms):
+    seeds = np.zeros((len(words), len(subjects) + settings.free))
+    for j, subject in enumerate(subjects):
+        for w in _WORD(INSPECTED_TERMS.get(subject, subject)):
             if w in index:
-                prior[index[w], j] += 1.0
-    return prior
+                seeds[index[w], j] += 1.0
+    return seeds / np.maximum(seeds.sum(axis=0), 1)
 
 
 def infer(terms: np.ndarray, counts: np.ndarray, first: np.ndarray, phi: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +225,20 @@ def _added_up(parts: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.
     return out.reshape(shape)
 
 
-def fit(bags: DataFrame, key: str, words: list[str], subjects: list[str], settings: Settings = Settings()) -> Model:
-    """The topic model of all documents in ``bags`` (:func:`word_ids`), by ``rounds`` rounds of EM."""
-    prior = _prior(words, subjects, settings)
-    k = prior.shape[1]
+def fit(bags: DataFrame, key: str, words: dict[str, int], subjects: list[str], settings: Settings = Settings()) -> Model:
+    """The topic model of all documents in ``bags`` (:func:`word_ids`), by ``rounds`` rounds of EM.
+
+    Subject topics start half from the inspected terms and half from the corpus' own frequencies
+    (``words``), free topics from the frequencies, so that words of no subject stay with them.
+    """
+    frequency = np.array(list(words.values()), dtype=np.float64)
+    frequency /= max(frequency.sum(), 1)
+    seeds = _seeds(list(words), subjects, settings)
+    k = seeds.shape[1]
+    phi = 0.5 * seeds + 0.5 * frequency[:, None]
     rng = np.random.default_rng(1)
-    start = prior.copy()
-    start[:, k - settings.free :] += rng.random((len(words), settings.free)) * settings.eta
-    phi = start / start.sum(axis=0)
+    phi[:, k - settings.free :] *= 1 + 0.1 * rng.random((len(words), settings.free))
+    phi /= np.maximum(phi.sum(axis=0), 1e-300)
     sc = bags.sparkSession.sparkContext
     for _ in range(settings.rounds if words else 0):
         shared = sc.broadcast(phi.astype(np.float32))
@@ -235,11 +262,9 @@ def fit(bags: DataFrame, key: str, words: list[str], subjects: list[str], settin
         shared.unpersist()
         # the inspected terms weigh as a fixed share of all words, so that they mean the same at every size
         weight = settings.seed_weight * stats.sum() / k
-        seeds = prior - settings.eta
-        seeds = seeds / np.maximum(seeds.sum(axis=0), 1)
         phi = stats + settings.eta + weight * seeds
         phi /= phi.sum(axis=0)
-    model = Model(words, phi.astype(np.float32), [None] * k, settings)
+    model = Model(list(words), phi.astype(np.float32), [None] * k, settings)
     model.subjects = map_topics(model, subjects)
     return model
 
