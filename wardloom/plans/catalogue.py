@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wardloom.plans import problems
+from wardloom.plans import problems, text_queries
 
 FLAGSHIP = "p5_sessions"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **text_queries.QUERIES}
+SQL = {**problems.SQL, **text_queries.SQL}
