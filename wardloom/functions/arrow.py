@@ -157,6 +157,21 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def windows(n: int):
+    """UDF: all windows of ``n`` characters of a text, in order (slices cost the same wherever they lie)."""
+
+    @F.pandas_udf(Y.ArrayType(Y.StringType()))
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else [t[i : i + n] for i in range(len(t) - n + 1)])
+
+    return run
+
+
+def window_repetition(n: int):
+    """UDF: 1 - distinct / all windows of ``n`` characters; 0 for texts of at most ``n``."""
+    return _mapped("double", lambda t: 0.0 if len(t) <= n else 1 - len({t[i : i + n] for i in range(len(t) - n + 1)}) / (len(t) - n + 1))
+
+
 _SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "DEVANAGARI", "THAI", "ARMENIAN")
 
 

@@ -84,13 +84,6 @@ def looks_like_language(value: Column) -> Column:
     return (s["words"] >= 4) & (ratio(s["alpha"], s["total"]) >= 0.35) & (ratio(s["space"], s["total"]) >= 0.08) & (ratio(s["symbol"], s["total"]) <= 0.45)
 
 
-def ngram_repetition(value: Column, n: int = 12) -> Column:
-    """1 - distinct / all windows of ``n`` characters; 0 for texts of at most ``n``."""
-    size = F.length(value)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(value, i, F.lit(n)))
-    return F.when(size <= n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / (size - n + 1))
-
-
 def string_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -187,13 +187,10 @@ def leak_coverage(outputs: DataFrame, key: str, text: str, fragments: DataFrame,
     """
     from wardloom.operators.rewrite import fingerprint_form
 
-    def grams(form: Column) -> Column:
-        size = F.length(form)
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(form, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    f = fragments.select("fragment", F.explode(F.array_distinct(grams(fingerprint_form(F.col("text"))))).alias("gram"))
+    grams = lambda c: arrow.windows(n)(fingerprint_form(c))
+    f = fragments.select("fragment", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram"))
     sizes = f.groupBy("fragment").agg(F.count(F.lit(1)).alias("windows"))
-    o = outputs.select(key, F.explode(grams(fingerprint_form(F.col(text)))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("c"))
+    o = outputs.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("c"))
     hits = o.join(f, "gram").groupBy(key, "fragment").agg(F.sum("c").alias("hits")).join(sizes, "fragment")
     rated = hits.withColumn("coverage", F.col("hits") / F.col("windows")).where((F.col("hits") >= min_hits) & (F.col("coverage") >= min_coverage))
     best = rated.groupBy(key).agg(F.max(F.struct("coverage", "hits", "fragment")).alias("b"))

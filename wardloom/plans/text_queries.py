@@ -113,7 +113,7 @@ add("detect_bands", lambda t: {"odd": arrow.rolling_bands(t)["odd"], "longest":
 add("measure_repetition", lambda t: {"score": F.round(arrow.repetition_score(F.right(t, F.lit(160))), 6)})
 add("detect_many_shot", lambda t: tripped(D.many_shot(t, 5_000, 6_000)))
 _GRAMS = "case when length(text) <= 12 then 0.0 when text is not null then round(1 - len(list_distinct([substr(text, i, 12) for i in range(1, length(text) - 10)])) / (length(text) - 11), 6) end"
-add("measure_ngram_repetition", lambda t: {"score": F.round(T.ngram_repetition(F.left(t, F.lit(10**9))), 6)}, f"{_GRAMS} as score", "prompts")
+add("measure_ngram_repetition", lambda t: {"score": F.round(arrow.window_repetition(12)(t), 6)}, f"{_GRAMS} as score", "prompts")
 _RATIO = lambda p: f"case when length(text) = 0 then 0.0 else {COUNT(p)} / length(text) end"
 _CTRL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]"
 _POISON = (
