@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -58,14 +59,12 @@ def repetition(text: str) -> float:
     n = len(text)
     if n < 4:
         return 0.0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     best = 0.0
     for p in range(1, min(n // 2, 64) + 1):
-        same = sum(a == b for a, b in zip(text, text[p:], strict=False))
-        best = max(best, min(1.0, same / (n - p) * (1 + 1 / p)))
-    longest = run = 1
-    for a, b in zip(text, text[1:], strict=False):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
+        best = max(best, min(1.0, np.count_nonzero(codes[p:] == codes[:-p]) / (n - p) * (1 + 1 / p)))
+    breaks = np.flatnonzero(codes[1:] != codes[:-1])
+    longest = int(np.diff(np.r_[-1, breaks, n - 1]).max())
     return min(1.0, 0.55 * best + 0.45 * longest / n)
 
 
@@ -107,10 +106,20 @@ def bands(text: str, lookback: int = 640, window: int = 96, step: int = 24, entr
     """Windows over the last ``lookback`` characters without blanks that are noise or repetition: count, longest run."""
     plain = "".join(text.split())[-lookback:]
     size = min(window, len(plain))
+    if not size:
+        return 0, 0
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    rows = np.lib.stride_tricks.sliding_window_view(codes, size)[::step]
+    best = np.zeros(len(rows))
+    for p in range(1, min(size // 2, 64) + 1):
+        best = np.maximum(best, np.minimum(1.0, (rows[:, p:] == rows[:, :-p]).sum(axis=1) / (size - p) * (1 + 1 / p)))
     odd = longest = run = 0
-    for at in range(0, len(plain) - size + 1, step) if size else ():
-        part = plain[at : at + size]
-        if entropy_of(part) > entropy or repetition(part) >= repeated:
+    for row, periodic in zip(rows, best, strict=True):
+        breaks = np.flatnonzero(row[1:] != row[:-1])
+        streak = int(np.diff(np.r_[-1, breaks, size - 1]).max())
+        again = min(1.0, 0.55 * periodic + 0.45 * streak / size) if size >= 4 else 0.0
+        counts = np.unique(row, return_counts=True)[1] / size
+        if -(counts * np.log2(counts)).sum() > entropy or again >= repeated:
             odd += 1
             run += 1
             longest = max(longest, run)

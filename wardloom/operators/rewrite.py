@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from wardloom.functions import arrow, crypto
 from wardloom.functions import text as T
@@ -139,22 +141,36 @@ SCRUB = {
 
 def scrubbed(text: Column, strategy: str = "token", kinds: list[str] | None = None) -> Column:
     """Every kind's matches replaced on the running text.  Strategies: token, remove, synthetic, hash, partial."""
+    if strategy in ("hash", "partial"):
+        return _hashed(strategy, tuple(kinds or SCRUB))(text)
     for kind in kinds or SCRUB:
-        pattern = SCRUB[kind]
-        if strategy in ("token", "remove", "synthetic"):
-            put = {"token": f"[REDACTED_{kind}]", "remove": "", "synthetic": f"[SYNTHETIC_{kind}]"}[strategy]
-            text = F.regexp_replace(text, pattern, put)
-            continue
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
-        digest = lambda v: F.sha2(v, 256)
-        if strategy == "hash":
-            new = lambda v: F.concat(F.lit("[HASH:"), F.substring(digest(v), 1, 8), F.lit("]"))
-        else:
-            new = lambda v: F.concat(F.substring(v, 1, 2), F.lit("-"), F.substring(digest(v), 1, 4))
-        text = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), text, lambda t, v: F.replace(t, v, new(v)))  # noqa: B023
+        put = {"token": f"[REDACTED_{kind}]", "remove": "", "synthetic": f"[SYNTHETIC_{kind}]"}[strategy]
+        text = F.regexp_replace(text, SCRUB[kind], put)
     return text
 
 
+def _hashed(strategy: str, kinds: tuple[str, ...]):
+    """UDF of the two strategies that need the matched value's digest."""
+
+    @F.pandas_udf(Y.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        patterns = [re.compile(SCRUB[k], re.ASCII) for k in kinds]
+
+        def put(m: re.Match) -> str:
+            digest = hashlib.sha256(m.group().encode()).hexdigest()
+            return f"[HASH:{digest[:8]}]" if strategy == "hash" else f"{m.group()[:2]}-{digest[:4]}"
+
+        def one(t: str | None) -> str | None:
+            if t is not None:
+                for p in patterns:
+                    t = p.sub(put, t)
+            return t
+
+        return texts.map(one)
+
+    return run
+
+
 def scrubbed_legal(text: Column) -> Column:
     for name, kind in (("SSN", "Ssn"), ("EMAIL", "Email"), ("PHONE", "Phone")):
         text = F.regexp_replace(text, SCRUB[kind], f"<{name}_REDACTED>")

@@ -136,7 +136,7 @@ add("detect_extraction", lambda t: with_detail(D.extraction(t)), f"{flag(_EXT +
 add("detect_extraction_short", lambda t: tripped(D.extraction_short(t)), flag(patterns("text", D.EXTRACTION_SHORT) + " is not null"), "prompts")
 add("detect_output_payload", lambda t: with_detail(D.output_payload(t)), f"{flag(any_of(ASCII_LOWER, list(D.PAYLOADS)))}, {first_of(ASCII_LOWER, D.PAYLOADS)} as detail")
 _INTENT = f"case when {any_of(ASCII_LOWER, D.INTENT_PHRASES)} then 'JAILBREAK' when strlen(text) > 4096 then 'RESOURCE_EXHAUSTION' end"
-add("assess_intent", lambda t: {"intent": D.quick_intent(t, 4096)["intent"], "score": D.quick_intent(t, 4096)["score"]}, f"{_INTENT} as intent, case {_INTENT} when 'JAILBREAK' then 0.95 when 'RESOURCE_EXHAUSTION' then 0.8 end as score")
+add("assess_intent", lambda t: {"intent": D.quick_intent(t, 4096)["intent"], "score": D.quick_intent(t, 4096)["score"]}, f"{_INTENT} as intent, cast(case {_INTENT} when 'JAILBREAK' then 0.95 when 'RESOURCE_EXHAUSTION' then 0.8 end as double) as score")
 _STAGE = f"case when {any_of('text', D.CANARIES)} then 'CANARY' when regexp_matches(text, '(?i)base64') or regexp_matches(text, '(?i)eval\\(') then 'EXPLOIT' end"
 add("detect_stage_one", lambda t: with_code(D.stage_one(t)), f"{flag(_STAGE + ' is not null')}, {_STAGE} as code")
 _KIND = {k: any_of(ASCII_LOWER, ws) for k, (_, ws) in D.HEAT_WORDS.items()}
