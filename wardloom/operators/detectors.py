@@ -100,13 +100,16 @@ def too_long(text: Column, limit: int = 10_000) -> Column:
 
 def signature(text: Column, phrases: list[str] = SIGNATURES) -> Column:
     """A known phrase in the lower-case text; detail is the one that ends first, then starts first."""
-    low = F.lower(text)
-    found = F.filter(
-        F.array(*[F.struct((F.instr(low, p) + len(p)).alias("end"), F.instr(low, p).alias("start"), F.lit(p).alias("phrase")) for p in phrases]),
-        lambda x: x["start"] > 0,
-    )
-    hit = T.contains_any(low, phrases)
-    return verdict(_code(hit, "SIGNATURE"), F.when(hit, F.array_min(found)["phrase"]))
+
+    def look(low: Column) -> Column:
+        found = F.filter(
+            F.array(*[F.struct((F.instr(low, p) + len(p)).alias("end"), F.instr(low, p).alias("start"), F.lit(p).alias("phrase")) for p in phrases]),
+            lambda x: x["start"] > 0,
+        )
+        return F.when(T.contains_any(low, phrases), F.array_min(found)["phrase"])
+
+    phrase = T.once(F.lower(text), look)
+    return verdict(_code(phrase.isNotNull(), "SIGNATURE"), phrase)
 
 
 def injection_pattern(text: Column, patterns: list[str] = INJECTION_PATTERNS) -> Column:
@@ -227,7 +230,7 @@ def poison_score(text: Column, max_control: float = 0.001, max_signs: float = 0.
         part(T.zero_width_count(text) > 0, 30)
         + part(T.bidi_count(text) > 0, 35)
         + F.when(control > max_control, 10 * F.least(control / max_control, F.lit(20.0))).otherwise(F.lit(0.0))
-        + part(T.contains_any(T.ascii_lower(text), POISON_PHRASES), 25)
+        + part(T.once(T.ascii_lower(text), lambda low: T.contains_any(low, POISON_PHRASES)), 25)
         + part(prose & (signs > max_signs), 20)
     )
 
@@ -281,7 +284,7 @@ def extraction_short(text: Column) -> Column:
 
 def output_payload(text: Column) -> Column:
     """Active web content, whatever its case."""
-    found = T.first_of(T.ascii_lower(text), PAYLOADS)
+    found = T.once(T.ascii_lower(text), lambda low: T.first_of(low, PAYLOADS))
     return verdict(_code(found.isNotNull(), "PAYLOAD"), found)
 
 
@@ -304,14 +307,18 @@ def stage_one(text: Column) -> Column:
 
 def heat(text: Column, soft_bytes: int = 8_000, lexicon: dict[str, tuple[int, list[str]]] = HEAT_WORDS) -> Column:
     """Points of one prompt: size, one amount per category of words, and 2 for three categories or more."""
-    low, size = T.ascii_lower(text), F.octet_length(text)
-    hits = {k: T.contains_any(low, words) for k, (_, words) in lexicon.items()}
-    points = F.when(size > soft_bytes, 2).when(size > 2_000, 1).otherwise(0)
-    kinds = F.lit(0)
-    for k, (n, _) in lexicon.items():
-        points = points + F.when(hits[k], n).otherwise(0)
-        kinds = kinds + hits[k].cast("int")
-    return points + F.when(kinds >= 3, 2).otherwise(0)
+    size = F.octet_length(text)
+
+    def points(low: Column) -> Column:
+        hits = {k: T.contains_any(low, words) for k, (_, words) in lexicon.items()}
+        total = F.when(size > soft_bytes, 2).when(size > 2_000, 1).otherwise(0)
+        kinds = F.lit(0)
+        for k, (n, _) in lexicon.items():
+            total = total + F.when(hits[k], n).otherwise(0)
+            kinds = kinds + hits[k].cast("int")
+        return total + F.when(kinds >= 3, 2).otherwise(0)
+
+    return T.once(T.ascii_lower(text), points)
 
 
 def goal_deviation(goal: Column, step: Column, depth: Column, max_depth: int = 10) -> Column:

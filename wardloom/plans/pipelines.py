@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions import text as T
 from wardloom.operators import detectors as D
 from wardloom.operators import folds, rewrite
+from wardloom.session import cut
 
 
 def intent_route(text: Column, drift: Column | None = None) -> Column:
@@ -51,6 +52,7 @@ def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secr
         .when(D.system_leak(F.col("_n"))["tripped"], "LLM06").alias("_code"),
         F.coalesce(D.heat(t), F.lit(0)).alias("_points"),
     )
+    checked = cut(checked)  # both the fold and the join read it
     hot = folds.heat(checked, user, time, key, "_points", limit=heat_limit).select(key, F.col("tripped").alias("_hot"))
     joined = checked.join(hot, key, "left")
     code = F.coalesce("_code", F.when(F.col("_hot"), "EMG29"))

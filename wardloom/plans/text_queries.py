@@ -11,7 +11,7 @@ from wardloom.functions import arrow, crypto
 from wardloom.functions import text as T
 from wardloom.operators import detectors as D
 from wardloom.operators import rewrite as R
-from wardloom.sources.tables import audit_events, table
+from wardloom.sources.tables import audit_events, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ PROMPTS = "(select event_id, any_value(user_id) as user_id, any_value(session_id
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:

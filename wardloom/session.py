@@ -61,8 +61,3 @@ def _forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session has ended; the folder is the cluster's own temporary one
         pass
-
-
-def parallelism(df: DataFrame, least: int = 1) -> int:
-    """Partitions to spread CPU-bound Python work over: the cluster's slots, at least ``least``."""
-    return max(least, df.sparkSession.sparkContext.defaultParallelism)

@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all of the cluster's slots where its files are fewer (CPU-bound work follows).
+
+    A table of many files is read where it lies, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
 def canonical_uuid(value: Column) -> Column:
     """Lower-case uuid with hyphens from any usual spelling (case, braces, ``urn:uuid:``, no hyphens, blanks).
 
