@@ -20,6 +20,7 @@ FOUND = [
     ("SSN 936-25-9105 on file", "ID_NUMBER", "936-25-9105"),
     ("person_id=2 19 13 10 852 649 43;", "ID_NUMBER", "2 19 13 10 852 649 43"),
     ("DNI 12345678-Z.", "ID_NUMBER", "12345678-Z"),
+    ("-- 22491745-P;", "ID_NUMBER", "22491745-P"),
     ("SSN QQ 53 31 59 B ok", "ID_NUMBER", "QQ 53 31 59 B"),
     ("They moved from 375 East Greystoke Hill Street, Apt 26A to a flat", "STREET_ADDRESS", "375 East Greystoke Hill Street, Apt 26A"),
     ("box to Unit 3, 279-281 Hazelmoor Ave. before noon", "STREET_ADDRESS", "Unit 3, 279-281 Hazelmoor Ave."),

@@ -196,7 +196,7 @@ def _ids(v: str) -> Iterable[Span]:
         elif kind == "nir":
             score = 0.9 if plain.isdigit() and mod97_key(plain) else 0.5
         elif kind == "dni":
-            score = 0.8 if mod23_letter(plain[:8], plain[8]) else 0.3
+            score = 0.8 if mod23_letter(plain[:8], plain[8]) else 0.5  # the shape alone is seldom anything else
         elif kind == "nie":
             score = 0.8 if mod23_letter(str("XYZ".index(plain[0])) + plain[1:8], plain[8]) else 0.3
         elif kind == "nino":
