@@ -16,6 +16,8 @@ FOUND = [
     ("tel. 247-555-0154, ext. 12.", "PHONE", "247-555-0154"),
     ("is +1 (249) 555‑0117.", "PHONE", "+1 (249) 555‑0117"),
     ("We dialled 4485550181 twice", "PHONE", "4485550181"),
+    ("by the applicant. Llámame al 2115550100 mañana", "PHONE", "2115550100"),
+    ("cite the page. +1 255 555 0168; then", "PHONE", "+1 255 555 0168"),
     ("ruf +49 (0)30 23125 325 an", "PHONE", "+49 (0)30 23125 325"),
     ("SSN 936-25-9105 on file", "ID_NUMBER", "936-25-9105"),
     ("person_id=2 19 13 10 852 649 43;", "ID_NUMBER", "2 19 13 10 852 649 43"),
@@ -47,6 +49,7 @@ def test_found(text, kind, value):
         "Project Carbholm starts in May",
         "The Rothby & Sons contract has 26 pages",
         "Order 3944679779 left the warehouse",
+        "Order 0059676088 left the warehouse",
         "Invoice INV-2068-13-8435 is closed",
         "Ratio 804/77/7768 looks wrong",
         "See section 12 Road works and lane closures",

@@ -91,13 +91,13 @@ def mod23_letter(digits: str, letter: str) -> bool:
 _WINDOW = 32
 _PHONE_WORDS = re.compile(r"(?i)\b(?:tel|phone|fax|mobil\w*|cell|call|ring|dial\w*|text|whatsapp|sms|caller|llám\w*|anruf\w*|appel\w*|reach|number)\b")
 _ID_WORDS = re.compile(r"(?i)\b(?:ssn|social|security|insurance|passport|identity|identidad|id|tax|ausweis\w*|national|nir|dni|nino|applicant|person_id|versicherung\w*|steuer\w*)\b")
-_NUMBER_WORDS = re.compile(r"(?i)(?:\b(?:order|invoice|inv|ticket|case|ref|reference|re|version|build|hash|tracking|parcel|batch|sku|serial|matter|commit|row|page|section|item|account no|bestell\w*|rechnung\w*|pedido|facture|commande)\b[\s:#.nN°º]*|#\s*)$")
+_NUMBER_WORDS = re.compile(r"(?i)(?:\b(?:order|invoice|inv|ticket|case|ref|reference|re|version|build|hash|tracking|parcel|batch|sku|serial|matter|commit|row|page|section|item|account no|bestell\w*|rechnung\w*|pedido|facture|commande)\b[\s:#]*(?:(?:no|nr|n)\b[.°º]*)?\s*|#\s*)$")
 
 
 def _near(v: str, start: int) -> str:
     """The text before a span, look-alikes and invisible signs put right."""
     before = v[max(0, start - _WINDOW) : start]
-    return before if before.isascii() else skeleton(before)
+    return before if before.isascii() else unicodedata.normalize("NFC", skeleton(before))
 
 
 # ---- e-mail
@@ -176,7 +176,7 @@ def _phones(v: str) -> Iterable[Span]:
         if _PHONE_WORDS.search(before):
             score += 0.2
         if _NUMBER_WORDS.search(before):
-            score -= 0.4
+            score -= 0.2 if v[start] in "+(" else 0.4  # a country code outweighs the word
         if _ID_WORDS.search(before) and not _PHONE_WORDS.search(before):
             score -= 0.1
         yield Span(start, end, "PHONE", score)
@@ -209,7 +209,7 @@ def _ids(v: str) -> Iterable[Span]:
         if _ID_WORDS.search(before):
             score += 0.25
         if _NUMBER_WORDS.search(before) and not _ID_WORDS.search(before):
-            score -= 0.4
+            score -= 0.4 if kind in ("nine", "pass") else 0.2
         yield Span(m.start(), m.end(), "ID_NUMBER", score)
 
 
