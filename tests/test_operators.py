@@ -289,6 +289,25 @@ def test_leak_and_citations(spark):
     assert sorted((r.id, r.citations, r.missing_rate) for r in lookups.verification_metrics(checked, "id", texts).collect()) == [(1, 2, 0.5), (2, 0, 0.0)]
 
 
+def test_domains_canaries_and_marks(spark):
+    protected = spark.createDataFrame([("google.com",), ("openai.com",)], "domain string")
+    texts = spark.createDataFrame([(1, "see gooogle.com and mail.google.com"), (2, "go to gооgle.com now"), (3, None), (4, "")], "id long, t string")
+    got = {(r.id, r.domain, r.kind, r.target) for r in lookups.domain_findings(texts, "id", "t", protected).collect()}
+    assert (1, "gooogle.com", "TYPOSQUAT", "google.com") in got and (2, "gооgle.com", "MIXED_SCRIPT", None) in got
+    assert {r[0] for r in got} == {1, 2} and not any(d == "mail.google.com" for _, d, _, _ in got)
+    a, b = "ct-00000000-0000-4000-8000-00000000000a", "ct-00000000-0000-4000-8000-00000000000b"
+    contents = spark.createDataFrame([(1, f"☃ {a} x {b} {a}"), (2, None)], "id long, t string")
+    hits = lookups.canary_hits(contents, "id", "t", spark.createDataFrame([(a,), ("zz-x",)], "token string")).collect()
+    assert [(r.token, r.hits, list(r.positions)) for r in hits] == [(a, 2, [4, 4 + len(a) * 2 + 4])]
+    cited = spark.createDataFrame([(1, "as in 12 F.3d 99."), (2, "none")], "id long, t string")
+    checked = spark.createDataFrame([(1, "12 F.3d 99", "NOT_FOUND")], "id long, citation string, status string")
+    marked = lambda style: {r.id: r.t for r in lookups.annotate_citations(cited, "id", "t", checked, style).collect()}
+    assert marked("inline") == {1: "as in 12 F.3d 99 [UNVERIFIED].", 2: "none"} and marked("remove")[1] == "as in ."
+    v = spark.createDataFrame([(True, "A"), (False, None), (True, "B"), (True, "A")], "tripped boolean, code string")
+    r = graph.batch_result(v).first()
+    assert (r.total, r.passed, r.failed, r.by_code) == (4, 1, 3, {"A": 2, "B": 1})
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (3, 1), (6, 6)], "src long, dst long").withColumn("ts", F.timestamp_seconds(F.col("src") * 60))
     seeds = spark.createDataFrame([(1,)], "id long")

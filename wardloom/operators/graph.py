@@ -121,3 +121,17 @@ def masked(df: DataFrame, role: str, hidden: dict[str, set[str]], locked: bool =
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``df`` with ``turn``: the place of a row within its key."""
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def anchored(df: DataFrame, session: str, order: list[str], goal: str, every: int = 3) -> DataFrame:
+    """``df`` with ``turn`` and ``anchor``: every so many turns of a session its goal is said again."""
+    turns = numbered(df, session, order)
+    return turns.withColumn("anchor", F.when(F.col("turn") % every == 0, F.concat(F.lit("GOAL: "), F.col(goal))))
+
+
+def batch_result(verdicts: DataFrame, tripped: str = "tripped", code: str = "code") -> DataFrame:
+    """(total, passed, failed) and the failures per code as a map, of a batch of verdicts."""
+    per = verdicts.groupBy(F.coalesce(F.when(F.col(tripped), F.col(code)), F.lit("OK")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    failed = F.coalesce(F.sum(F.when(F.col("c") != "OK", F.col("n"))), F.lit(0))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return per.agg(total.alias("total"), (total - failed).alias("passed"), failed.alias("failed"), F.map_from_entries(F.collect_list(F.when(F.col("c") != "OK", F.struct("c", "n")))).alias("by_code"))

@@ -221,3 +221,63 @@ def verification_metrics(checked: DataFrame, key: str, texts: DataFrame) -> Data
     out = texts.select(key).join(counts, key, "left").na.fill(0, ["citations", "verified"])
     missing = F.when(F.col("citations") == 0, 0.0).otherwise(1 - F.col("verified") / F.col("citations"))
     return out.withColumn("missing_rate", missing).withColumn("high_risk", missing > 0.1).withColumn("rejected", missing > 0.5)
+
+
+_HOST = r"([\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+)"
+
+
+def domain_findings(df: DataFrame, key: str, text: str, protected: DataFrame, least: int = 5, most: int = 2, share: float = 0.34) -> DataFrame:
+    """(key, domain, base, kind, target, distance): domains in a text that imitate a protected one.
+
+    ``protected`` has unique domain.  Protected domains and what lies under them are fine.  Of the others
+    the last two labels are compared: TYPOSQUAT within 1 to ``most`` edits, MIXED_SCRIPT where a label
+    mixes scripts.
+    """
+    known = protected.select(F.lower("domain").alias("domain"))
+    found = df.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_HOST), F.lit(1)))).alias("domain"))
+    names = found.select("domain").distinct()
+    under = names.select("domain", F.explode(T.domain_suffixes(F.col("domain"))).alias("_s")).join(known.withColumnRenamed("domain", "_s"), "_s").select("domain")
+    labels = F.split("domain", r"\.")
+    odd = names.join(under, "domain", "left_anti").withColumn("base", F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).where(F.length("base") >= least)
+    bases = known.withColumn("target", F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1)))
+    near = near_names(odd, "base", bases, "target", most, share, least)
+    typo = odd.join(near, "base").select("domain", "base", F.lit("TYPOSQUAT").alias("kind"), "target", "distance")
+    mixed = odd.where(~F.col("domain").rlike(r"^\p{ASCII}+$")).where(arrow.mixed_script_label(F.col("domain")))
+    mixed = mixed.select("domain", "base", F.lit("MIXED_SCRIPT").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("int").alias("distance"))
+    return found.join(typo.unionByName(mixed), "domain").select(key, "domain", "base", "kind", "target", "distance")
+
+
+_CANARY = r"([a-z]+-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+
+
+@F.pandas_udf(Y.ArrayType(Y.IntegerType()))
+def byte_positions(texts: pd.Series, tokens: pd.Series) -> pd.Series:
+    """Where a token stands in a text, in bytes."""
+
+    def one(text, token):
+        data, part, out, at = text.encode(), token.encode(), [], -1
+        while (at := data.find(part, at + 1)) >= 0:
+            out.append(at)
+        return out
+
+    return pd.Series([one(t, k) for t, k in zip(texts, tokens, strict=True)])
+
+
+def canary_hits(df: DataFrame, key: str, text: str, canaries: DataFrame) -> DataFrame:
+    """(key, token, hits, positions): known canary tokens in a text, with byte positions.
+
+    ``canaries`` has unique token (a prefix and a uuid).  Whole texts are searched, whatever their length.
+    """
+    seen = df.where(F.col(text).isNotNull()).select(key, text, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_CANARY), F.lit(1)))).alias("token"))
+    hits = seen.join(canaries.select("token"), "token").withColumn("positions", byte_positions(F.col(text), F.col("token")))
+    return hits.select(key, "token", F.size("positions").alias("hits"), "positions")
+
+
+def annotate_citations(df: DataFrame, key: str, text: str, checked: DataFrame, style: str = "inline") -> DataFrame:
+    """``df`` with citations that were not found marked in the text: inline, strike, remove, footnote."""
+    mark = {"inline": lambda c: F.concat(c, F.lit(" [UNVERIFIED]")), "strike": lambda c: F.concat(F.lit("~~"), c, F.lit("~~")), "remove": lambda _: F.lit(""), "footnote": lambda c: F.concat(c, F.lit("[^unverified]"))}[style]
+    missing = checked.where("status = 'NOT_FOUND'").groupBy(key).agg(F.collect_set("citation").alias("_c"))
+    # longer citations first, so that one inside another is not marked twice
+    ordered = F.array_sort("_c", lambda a, b: F.length(b) - F.length(a))
+    out = F.aggregate(ordered, F.col(text), lambda t, c: F.replace(t, c, mark(c)))
+    return df.join(missing, key, "left").withColumn(text, F.coalesce(out, F.col(text))).drop("_c")

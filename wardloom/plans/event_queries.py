@@ -190,6 +190,42 @@ def near_name_pairs(spark, folder):
     return lookups.near_names(f, "name", f.select(F.col("name").alias("target")), "target").withColumn("distance", F.col("distance").cast("long"))
 
 
+_IMITATED = ["inbax.example", "example.orb", "bryn-hold.example"]
+
+
+@query(f"""
+with d as (select distinct event_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}-]+(?:\\.[\\p{{L}}\\p{{N}}-]+)+')) as domain from {PROMPTS} x where text is not null),
+n as (select distinct domain, array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') as base from d),
+p as (select unnest({_IMITATED}) as target)
+select event_id, domain, base, 'TYPOSQUAT' as kind, target, levenshtein(base, target) as distance from d join n using (domain) join p on levenshtein(base, target) between 1 and 2
+where length(base) >= 5 and levenshtein(base, target) / length(base) <= 0.34 and domain not in (select target from p) and not exists (select 1 from p q where ends_with(domain, '.' || q.target))""")
+def domain_typos(spark, folder):
+    protected = spark.createDataFrame([(d,) for d in _IMITATED], "domain string")
+    found = lookups.domain_findings(prompts(spark, folder).select("event_id", "text"), "event_id", "text", protected)
+    return found.where("kind = 'TYPOSQUAT'").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("""
+select doc_id, token, cast((length(text) - length(replace(text, token, ''))) / length(token) as int) as hits from (
+  select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[a-z]+-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}'))) as token from documents where text is not null)
+where token in (select 'zt-' || id from users)""")
+def canary_scan(spark, folder):
+    canaries = table(spark, folder, "users").select(F.concat(F.lit("zt-"), "id").alias("token")).distinct()
+    return lookups.canary_hits(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", canaries).select("doc_id", "token", "hits")
+
+
+@query(f"select count(*) as total, count(case when not coalesce({any_of('lower(text)', D.SIGNATURES)}, false) then 1 end) as passed, count(case when {any_of('lower(text)', D.SIGNATURES)} then 1 end) as failed from {PROMPTS} p")
+def batch_result(spark, folder):
+    v = prompts(spark, folder).select(D.signature(F.col("text")).alias("v")).select("v.*")
+    return graph.batch_result(v).select("total", "passed", "failed")
+
+
+@query(f"select event_id, n as turn, case when n % 3 = 0 then 'GOAL: ' || risk_domain end as anchor from (select event_id, risk_domain, row_number() over (partition by session_id order by logged_at nulls first, event_id) as n from (select event_id, any_value(risk_domain) as risk_domain, any_value(session_id) as session_id, any_value(logged_at) as logged_at from audit_events group by event_id) where session_id is not null)")
+def session_anchors(spark, folder):
+    e = audit_events(spark, folder, ["session_id", "logged_at", "risk_domain"]).where("session_id is not null")
+    return graph.anchored(e, "session_id", ["logged_at", "event_id"], "risk_domain").select("event_id", "turn", "anchor")
+
+
 @query()
 def package_scan(spark, folder):
     verified = spark.createDataFrame([(p,) for p in ("requests", "numpy", "express", "serde")], "package string")
