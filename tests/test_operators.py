@@ -14,7 +14,7 @@ from wardloom.functions import arrow, crypto
 from wardloom.functions import text as T
 from wardloom.operators import detectors as D
 from wardloom.operators import folds, graph, lookups, noise, rewrite, vectors
-from wardloom.plans import pipelines
+from wardloom.plans import event_queries, pipelines
 from wardloom.sources import sinks
 
 
@@ -289,6 +289,47 @@ def test_leak_and_citations(spark):
     assert sorted((r.id, r.citations, r.missing_rate) for r in lookups.verification_metrics(checked, "id", texts).collect()) == [(1, 2, 0.5), (2, 0, 0.0)]
 
 
+def test_leak_coverage_takes_every_policy(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    policies = ["tiny", *(text(k) for k in (9, 12, 40, 40, 300, 900)), "Überall  GEHEIM, ganz geheim!"]
+    edited = " ".join(w if i % 4 else w + "q" for i, w in enumerate(policies[5].split()))
+    responses = [policies[6][2000:6000], policies[1] + " and so on", edited, policies[3] * 2, text(60), "nothing here", "", None, policies[7]]
+    rows = [(i, "policy", p) for i, p in enumerate(policies)] + [(99, "policy", None)] + [(100 + i, "response", r) for i, r in enumerate(responses)]
+    spark.createDataFrame(rows, "doc_id long, doc_type string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def grams(t, n):
+        form = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in t or "")
+        form = " ".join(form.split())
+        return [form[i : i + n] for i in range(len(form) - n + 1)]
+
+    def brute(n):
+        out = {}
+        for i, r in enumerate(responses):
+            rated = []
+            for j, p in enumerate(policies):
+                own = set(grams(p, n))
+                hits = sum(k for g, k in Counter(grams(r, n)).items() if g in own)
+                if hits >= 8 and hits / len(own) >= 0.2:
+                    rated.append((hits / len(own), hits, j))
+            if rated:
+                coverage, hits, j = max(rated)
+                out[100 + i] = (j, hits, round(coverage, 9))
+        return out
+
+    got = {r.doc_id: (r.fragment, r.hits, r.coverage) for r in event_queries.leak_coverage(spark, str(tmp_path)).collect()}
+    assert got == brute(10) and {j for j, _, _ in got.values()} >= {1, 5, 6}
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    fragments = d.where("doc_type = 'policy'").select(F.col("doc_id").alias("fragment"), "text")
+    for n, block in ((10, 500), (32, 1000)):
+        found = lookups.leak_coverage(d.where("doc_type = 'response'"), "doc_id", "text", fragments, n=n, block_bytes=block).collect()
+        assert {r.doc_id: (r.fragment, r.hits, round(r.coverage, 9)) for r in found} == brute(n)
+
+
 def test_domains_canaries_and_marks(spark):
     protected = spark.createDataFrame([("google.com",), ("openai.com",)], "domain string")
     texts = spark.createDataFrame([(1, "see gooogle.com and mail.google.com"), (2, "go to gооgle.com now"), (3, None), (4, "")], "id long, t string")

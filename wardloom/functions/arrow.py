@@ -176,6 +176,26 @@ def windows(n: int):
     return run
 
 
+def window_ids(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for each window of ``n`` codes (from 0), equal exactly where the windows are equal.
+
+    As many codes as fit are the digits of one number; longer windows are pairs of shorter ones by rank.
+    """
+    base, m = max(2, int(codes.max()) + 1), 1
+    while m < n and base ** (m + 1) < 2**63:
+        m += 1
+    out = codes[: len(codes) - m + 1].astype(np.int64)
+    for j in range(1, m):
+        out *= base
+        out += codes[j : j + len(out)]
+    while m < n:
+        step = min(m, n - m)
+        rank = np.unique(out, return_inverse=True)[1]
+        out = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
+        m += step
+    return out
+
+
 def window_repetition(n: int):
     """UDF: 1 - distinct / all windows of ``n`` characters; 0 for texts of at most ``n``."""
     return _mapped("double", lambda t: 0.0 if len(t) <= n else 1 - len({t[i : i + n] for i in range(len(t) - n + 1)}) / (len(t) - n + 1))

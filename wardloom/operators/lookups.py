@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as Y
 
 from wardloom.functions import arrow
 from wardloom.functions import text as T
+from wardloom.session import cut
 
 # A registry that is joined by key needs no hint: Spark sends it to all tasks only if its size allows it.
 
@@ -179,24 +181,71 @@ def package_findings(df: DataFrame, key: str, text: str, verified: DataFrame, st
     return out.withColumn("finding", finding).where("finding is not null").select(key, "tool", "raw", "name", "finding", F.when(F.col("finding") == "TYPOSQUAT", F.col("similar_to")).alias("similar_to"))
 
 
-def leak_coverage(outputs: DataFrame, key: str, text: str, fragments: DataFrame, n: int = 8, min_hits: int = 8, min_coverage: float = 0.20) -> DataFrame:
+def leak_coverage(outputs: DataFrame, key: str, text: str, fragments: DataFrame, n: int = 8, min_hits: int = 8, min_coverage: float = 0.20, block_bytes: int = 4_000_000) -> DataFrame:
     """(key, fragment, hits, coverage): the protected fragment that an output covers most.
 
     Texts are compared in fingerprint form by windows of ``n`` characters; hits count the output's windows,
     coverage is hits over the fragment's distinct windows.  ``fragments`` has unique fragment and text.
+
+    Common windows lie in most texts, so nearly every output meets nearly every fragment and a join on windows
+    makes a row for each meeting.  Instead both sides are cut into blocks of about ``block_bytes`` and each
+    pair of blocks is counted in one task: work grows with outputs x fragments, memory with the block.
     """
     from wardloom.operators.rewrite import fingerprint_form
 
-    grams = lambda c: arrow.windows(n)(fingerprint_form(c))
-    f = fragments.select("fragment", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram"))
-    sizes = f.groupBy("fragment").agg(F.count(F.lit(1)).alias("windows"))
-    o = outputs.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("c"))
-    hits = o.join(f, "gram").groupBy(key, "fragment").agg(F.sum("c").alias("hits")).join(sizes, "fragment")
-    rated = hits.withColumn("coverage", F.col("hits") / F.col("windows")).where((F.col("hits") >= min_hits) & (F.col("coverage") >= min_coverage))
-    best = rated.groupBy(key).agg(F.max(F.struct("coverage", "hits", "fragment")).alias("b"))
+    o = cut(outputs.select(F.col(key), fingerprint_form(F.col(text)).alias("_t")).where(F.length("_t") >= n))
+    f = cut(fragments.select("fragment", fingerprint_form(F.col("text")).alias("_t")).where(F.length("_t") >= n))
+    blocks = lambda df: int((df.agg(F.sum(F.length("_t"))).first()[0] or 0) // block_bytes + 1)
+    across, down = blocks(o), blocks(f)
+    o = o.withColumn("_o", F.pmod(F.xxhash64(key), F.lit(across))).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    f = f.withColumn("_f", F.pmod(F.xxhash64("fragment"), F.lit(down))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    cell = (F.col("_o") * down + F.col("_f")).cast("long").alias("_c")
+    # a number of partitions, so that adaptive execution does not merge what is small in bytes but long in work
+    o, f = (df.select(*columns, "_t", cell).repartition(min(across * down, 10_000), "_c") for df, columns in ((o, [key]), (f, ["fragment"])))
+    shape = Y.StructType([o.schema[key], f.schema["fragment"], Y.StructField("hits", Y.LongType()), Y.StructField("coverage", Y.DoubleType())])
+    found = o.groupBy("_c").cogroup(f.groupBy("_c")).applyInPandas(lambda a, b: _covered(a, b, key, n, min_hits, min_coverage), shape)
+    best = found.groupBy(key).agg(F.max(F.struct("coverage", "hits", "fragment")).alias("b"))
     return best.select(key, "b.fragment", "b.hits", "b.coverage")
 
 
+def _covered(outputs: pd.DataFrame, fragments: pd.DataFrame, key: str, n: int, min_hits: int, min_coverage: float) -> pd.DataFrame:
+    """The best fragment of a block for each output of a block; ties by hits, then by the greater fragment."""
+    rows: list[tuple] = []
+    if len(outputs) and len(fragments):
+        fragments = fragments.sort_values("fragment")
+        owners, keys = pd.factorize(outputs[key], use_na_sentinel=False)
+        most, texts = len(fragments), [*fragments["_t"], *outputs["_t"]]
+        codes = np.frombuffer(("\n".join(texts) + "\n").encode("ascii"), dtype=np.uint8)
+        codes = np.where(codes >= 97, codes - 86, np.where(codes >= 48, codes - 47, np.where(codes == 32, 37, 0)))
+        sizes = np.array([len(t) for t in texts])
+        grams = arrow.window_ids(codes, n)
+        # a text's windows end before the line feed after it
+        whole = np.arange(len(grams), dtype=np.int32) + n <= np.repeat((np.cumsum(sizes + 1) - 1).astype(np.int32), sizes + 1)[: len(grams)]
+        grams, owner = grams[whole], np.repeat(np.r_[np.arange(most), most + owners].astype(np.int32), sizes + 1)[: len(whole)][whole]
+        split = int((sizes[:most] - n + 1).sum())
+        known, rank = np.unique(grams[:split], return_inverse=True)
+        pairs = np.unique(rank * most + owner[:split])
+        posted = pairs % most
+        windows = np.bincount(posted, minlength=most)
+        ends = np.cumsum(np.bincount(pairs // most, minlength=len(known))).tolist()
+        starts = [0, *ends[:-1]]
+        at = np.minimum(np.searchsorted(known, grams[split:]), len(known) - 1)
+        hit = known[at] == grams[split:]
+        met, times = np.unique((owner[split:][hit].astype(np.int64) - most) * len(known) + at[hit], return_counts=True)
+        bounds = np.searchsorted(met, np.arange(len(keys) + 1) * len(known))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            hits = np.zeros(most, dtype=np.int64)
+            own, often = met[a:b] - i * len(known), times[a:b]
+            for k in np.unique(often):
+                hits += k * np.bincount(np.concatenate([posted[starts[g] : ends[g]] for g in own[often == k].tolist()]), minlength=most)
+            coverage = np.where((hits >= min_hits) & (hits / windows >= min_coverage), hits / windows, -1.0)
+            if (top := coverage.max()) >= 0:
+                level = np.flatnonzero(coverage == top)
+                j = level[hits[level] == hits[level].max()][-1]
+                rows.append((keys[i], fragments["fragment"].iat[j], int(hits[j]), float(top)))
+    return pd.DataFrame(rows, columns=[key, "fragment", "hits", "coverage"])
+
+
 # Shapes of citations.
 CITATIONS = {
     "legal": r"\b\d{1,4}\s+(?:F\.\d*d?|U\.S\.|S\.Ct\.|L\.Ed\.\d*d?|[A-Z][a-z]*\.App\.\d*[a-z]*|[A-Z]\.E\.\d*d?|[A-Z]\.\d*d?)\s+\d{1,5}\b",

@@ -243,9 +243,8 @@ r as (select doc_id, fragment, hits, hits / windows as coverage from h join z us
 select doc_id, fragment, hits, round(coverage, 9) as coverage from (select *, row_number() over (partition by doc_id order by coverage desc, hits desc, fragment desc) as n from r) where n = 1""")
 def leak_coverage(spark, folder):
     d = table(spark, folder, "documents")
-    size = F.length(rewrite.fingerprint_form(F.col("text")))
-    fragments = d.where("doc_type = 'policy'").where(size.between(200, 400)).select(F.col("doc_id").alias("fragment"), "text")
-    out = lookups.leak_coverage(d.where("doc_type = 'response'"), "doc_id", "text", fragments, n=32)
+    fragments = d.where("doc_type = 'policy'").select(F.col("doc_id").alias("fragment"), "text")
+    out = lookups.leak_coverage(d.where("doc_type = 'response'"), "doc_id", "text", fragments, n=10)
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
