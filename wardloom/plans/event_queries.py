@@ -226,10 +226,13 @@ def session_anchors(spark, folder):
     return graph.anchored(e, "session_id", ["logged_at", "event_id"], "risk_domain").select("event_id", "turn", "anchor")
 
 
+def _verified(spark):
+    return spark.createDataFrame([(p,) for p in ("requests", "numpy", "express", "serde")], "package string")
+
+
 @query()
 def package_scan(spark, folder):
-    verified = spark.createDataFrame([(p,) for p in ("requests", "numpy", "express", "serde")], "package string")
-    return lookups.package_findings(prompts(spark, folder), "event_id", "text", verified)
+    return lookups.package_findings(prompts(spark, folder), "event_id", "text", _verified(spark))
 
 
 @query("""
@@ -328,7 +331,7 @@ def speculative_route(spark, folder):
 
 @query()
 def universal_verdict(spark, folder):
-    return pipelines.guard_prompts(prompts(spark, folder), "event_id", "user_id", "logged_at", "text", b"key of the guard query")
+    return pipelines.guard_prompts(prompts(spark, folder), "event_id", "user_id", "logged_at", "text", b"key of the guard query", verified=_verified(spark))
 
 
 @query(f"""

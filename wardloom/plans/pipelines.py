@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions import text as T
 from wardloom.operators import detectors as D
-from wardloom.operators import folds, rewrite
+from wardloom.operators import folds, lookups, rewrite
 from wardloom.session import cut
 
 
@@ -31,13 +31,16 @@ def speculative_route(text: Column) -> Column:
     return F.when(D.stage_one(text)["tripped"], "BLOCK").otherwise(F.coalesce(*[F.when(route == k, v) for k, v in path.items()]))
 
 
-def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secret: bytes, heat_limit: int = 10) -> DataFrame:
+def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secret: bytes, heat_limit: int = 10, verified: DataFrame | None = None) -> DataFrame:
     """(key, code, redacted): the universal guard over prompts.
 
-    Order: input rules, padding flood, injection, redaction failure, system leak, escalation.  All but the
-    last are one pass over the text; escalation is the per-user heat over time, the only shuffle.  The
+    Order: input rules, padding flood, injection, redaction failure, packages, system leak, escalation.  All
+    but packages and escalation are one pass over the text.  Packages that the redacted text asks to install
+    must be in ``verified`` (package); without it none is.  Escalation is the per-user heat over time.  The
     redacted text is given where no code is.
     """
+    if verified is None:
+        verified = df.sparkSession.createDataFrame([], "package string")
     t = F.col(text)
     bad_input = F.col(user).isNull() | (F.octet_length(user) > 256) | t.isNull() | (F.octet_length(t) > 2_000_000)
     wrapped = rewrite.compatible(t)
@@ -48,14 +51,15 @@ def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secr
         F.when(bad_input, "INPUT")
         .when(D.many_shot(t)["tripped"], "EMG26")
         .when(injected, "LLM01")
-        .when(F.col("redaction_error").isNotNull(), "REDACTION_FAILED")
-        .when(D.system_leak(F.col("_n"))["tripped"], "LLM06").alias("_code"),
+        .when(F.col("redaction_error").isNotNull(), "REDACTION_FAILED").alias("_code"),
+        F.when(D.system_leak(F.col("_n"))["tripped"], "LLM06").alias("_leak"),
         F.coalesce(D.heat(t), F.lit(0)).alias("_points"),
     )
-    checked = cut(checked)  # both the fold and the join read it
+    checked = cut(checked)  # the packages, the fold and the join read it
+    risky = lookups.package_findings(checked.where("_code is null"), key, "_plain", verified).select(key).distinct().withColumn("_risky", F.lit(True))
     hot = folds.heat(checked, user, time, key, "_points", limit=heat_limit).select(key, F.col("tripped").alias("_hot"))
-    joined = checked.join(hot, key, "left")
-    code = F.coalesce("_code", F.when(F.col("_hot"), "EMG29"))
+    joined = checked.join(risky, key, "left").join(hot, key, "left")
+    code = F.coalesce("_code", F.when(F.col("_risky"), "EMG28"), "_leak", F.when(F.col("_hot"), "EMG29"))
     return joined.select(key, code.alias("code"), F.when(code.isNull(), F.col("_plain")).alias("redacted"))
 
 
