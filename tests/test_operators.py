@@ -361,6 +361,30 @@ def test_graph(spark):
     assert graph.page_rank(e.where("false")).count() == 0
 
 
+def chains(spark, folder, *walks):
+    """Events whose edges are the steps of each walk; walk and hour are the same, so only its kind tells them apart."""
+    rows = [(i * 100 + n, user, kind, BASE + timedelta(hours=i, minutes=n), 1.0) for i, (kind, walk) in enumerate(walks) for n, user in enumerate(walk)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{folder}/events.parquet")
+    return [(a, b) for _, walk in walks for a, b in zip(walk, walk[1:])]
+
+
+def test_cycles_and_reach_take_all_edges(spark, tmp_path):
+    e = chains(spark, tmp_path, ("view", [1, 2, 3, 4, 5, 1]), ("error", [10, 11, 12, 13, 10]), ("click", [20, 21, 22, 23, 24, 25, 20]), ("signup", [30, 31]), ("view", [31, 30, 100, 101, 102]), ("error", [102, 103]))
+
+    def least(start, most):
+        at = {start}
+        for n in range(1, most + 1):
+            at = {b for a, b in e if a in at}
+            if n > 1 and start in at:
+                return n
+        return None
+
+    want = {v: n for v in {a for a, _ in e} if (n := least(v, 5))}
+    assert {r.start: r.length for r in event_queries.worm_cycles(spark, str(tmp_path)).collect()} == want
+    assert set(want.values()) == {2, 4, 5} and 20 not in want
+    assert {(r.seed, r.id, r.hops) for r in event_queries.blast_radius(spark, str(tmp_path)).collect()} == {(100, 101, 1), (100, 102, 2), (100, 103, 3)}
+
+
 def test_top_k_equals_brute_force(spark):
     import numpy as np
 

@@ -32,7 +32,7 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     """(start, length): vertices on a closed walk of 2 to ``longest`` distinct edges, with its least length.
 
     Reachability back to the start is found level by level on distinct (start, vertex) pairs, so long
-    lists of paths are never made.
+    lists of paths are never made, and a start whose least length is known goes no further.
     """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     level = e.select(F.col("src").alias("start"), F.col("dst").alias("at"))
@@ -42,7 +42,7 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
         step = level.join(e, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
         closed = step.where("start = at").select("start", F.lit(n).alias("length"))
         found = closed if found is None else found.unionByName(closed)
-        level = cut(step.where("start <> at").join(seen, ["start", "at"], "left_anti"))
+        level = cut(step.where("start <> at").join(seen, ["start", "at"], "left_anti").join(closed, "start", "left_anti"))
         seen = seen.unionByName(level)
     return found.groupBy("start").agg(F.min("length").alias("length"))
 

@@ -372,7 +372,7 @@ r as (
   select r.seed, e.dst, r.hops + 1 from r join e on r.id = e.src where r.hops < 3)
 select seed, id, min(hops) as hops from r where id <> seed group by 1, 2""")
 def blast_radius(spark, folder):
-    e = edges(spark, folder).where("rel = 'error'")
+    e = edges(spark, folder)
     return graph.reach(e, e.where("src % 100 = 0").select(F.col("src").alias("id")), 3)
 
 
@@ -382,7 +382,7 @@ select start, min(length) as length from (
   select a.src as start, 2 as length from e a join e b on a.dst = b.src and b.dst = a.src
   union all select a.src, 3 from e a join e b on a.dst = b.src join e c on b.dst = c.src and c.dst = a.src) group by start""")
 def worm_cycles(spark, folder):
-    return graph.cycles(edges(spark, folder).where("rel = 'error'"), 3)
+    return graph.cycles(edges(spark, folder), 5)
 
 
 _RANK = f"e as (select src, dst, count(*) / sum(count(*)) over (partition by src) as p from {_EDGES} x group by src, dst), v as (select src as id from e union select dst from e), r0 as (select id, 1.0::double / (select count(*) from v) as rank from v)"
