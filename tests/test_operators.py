@@ -14,7 +14,7 @@ from wardloom.functions import arrow, crypto
 from wardloom.functions import text as T
 from wardloom.operators import detectors as D
 from wardloom.operators import folds, graph, lookups, noise, rewrite, vectors
-from wardloom.plans import event_queries, pipelines
+from wardloom.plans import event_queries, pipelines, text_queries
 from wardloom.sources import sinks
 
 
@@ -100,6 +100,15 @@ def test_measures_match_plain_python(spark):
     assert one(spark, arrow.idna, "bücher.example") == "xn--bcher-kva.example"
 
 
+def test_repetition_is_measured_over_the_whole_text(spark, tmp_path):
+    prose = "A plain sentence that says one thing and then another, without much that comes again; it ends here, after some more words of no weight at all, so be it, dear reader."
+    texts = ["ab" * 2000 + prose, prose, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in text_queries.QUERIES["measure_repetition"](spark, str(tmp_path)).collect()}
+    assert got[0] > 0.5 > got[1] and got[2] == 0.0 and got[3] is None
+    assert got[0] == pytest.approx(arrow.repetition(texts[0]), abs=1e-6)
+
+
 def test_mac_and_base64(spark):
     assert one(spark, lambda m: crypto.hmac_sha256(b"key", m), "mészáge") == hmac.new(b"key", "mészáge".encode(), hashlib.sha256).hexdigest()
     assert one(spark, crypto.decoded_base64, base64.b64encode(b"hello!").decode()) == "hello!"

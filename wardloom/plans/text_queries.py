@@ -110,7 +110,7 @@ _BLOB = f"[case when len(regexp_extract_all(w, '[0-9A-Fa-f]')) / strlen(w) >= 0.
 add("detect_blob", lambda t: with_detail(D.encoded_blob(t, 40)), f"{flag(f'len(list_filter({_BLOB}, lambda k: k is not null)) > 0')}, list_filter({_BLOB}, lambda k: k is not null)[1] as detail")
 add("detect_suffix", lambda t: with_code(D.adversarial_suffix(t)))
 add("detect_bands", lambda t: {"odd": arrow.rolling_bands(t)["odd"], "longest": arrow.rolling_bands(t)["longest"]})
-add("measure_repetition", lambda t: {"score": F.round(arrow.repetition_score(F.right(t, F.lit(160))), 6)})
+add("measure_repetition", lambda t: {"score": F.round(arrow.repetition_score(t), 6)})
 add("detect_many_shot", lambda t: tripped(D.many_shot(t, 5_000, 6_000)))
 _GRAMS = "case when length(text) <= 12 then 0.0 when text is not null then round(1 - len(list_distinct([substr(text, i, 12) for i in range(1, length(text) - 10)])) / (length(text) - 11), 6) end"
 add("measure_ngram_repetition", lambda t: {"score": F.round(arrow.window_repetition(12)(t), 6)}, f"{_GRAMS} as score", "prompts")
