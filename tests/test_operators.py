@@ -394,6 +394,18 @@ def test_cycles_and_reach_take_all_edges(spark, tmp_path):
     assert {(r.seed, r.id, r.hops) for r in event_queries.blast_radius(spark, str(tmp_path)).collect()} == {(100, 101, 1), (100, 102, 2), (100, 103, 3)}
 
 
+def test_page_rank_runs_twenty_rounds(spark, tmp_path):
+    e = chains(spark, tmp_path, ("view", [1, 2, 3, 4, 1, 5]), ("click", [6, 2, 1, 2, 7]), ("error", [8, 2, 1]))
+    ids = sorted({v for edge in e for v in edge})
+    out = {v: [b for a, b in e if a == v] for v in ids}
+    rank = {v: 1 / len(ids) for v in ids}
+    for _ in range(20):
+        lost = sum(rank[v] for v in ids if not out[v])
+        rank = {v: 0.15 / len(ids) + 0.85 * lost / len(ids) + 0.85 * sum(rank[a] / len(out[a]) * out[a].count(v) for a in ids if out[a]) for v in ids}
+    got = {r.id: r["rank"] for r in event_queries.user_graph_pagerank(spark, str(tmp_path)).collect()}
+    assert got == {v: pytest.approx(r, abs=2e-9) for v, r in rank.items()}
+
+
 def test_top_k_equals_brute_force(spark):
     import numpy as np
 

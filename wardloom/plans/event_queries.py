@@ -392,7 +392,7 @@ for _i in range(1, 4):
 
 @query(f"with {_RANK} select id, round(rank, 9) as rank from r3")
 def user_graph_pagerank(spark, folder):
-    return graph.page_rank(edges(spark, folder), 3).select("id", F.round("rank", 9).alias("rank"))
+    return graph.page_rank(edges(spark, folder)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(f"select rel as signature, src as agent, ts from (select *, row_number() over (partition by rel order by ts, src) as n from {_EDGES} x) where n = 1")
