@@ -109,6 +109,20 @@ def test_repetition_is_measured_over_the_whole_text(spark, tmp_path):
     assert got[0] == pytest.approx(arrow.repetition(texts[0]), abs=1e-6)
 
 
+def test_padding_after_64_kib_counts(spark):
+    import random
+
+    rng = random.Random(4)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=70_000))
+    assert [one(spark, D.many_shot, t).tripped for t in (noise, noise + "padding " * 60_000)] == [False, True]
+    assert one(spark, arrow.zlib_ratio, noise) > 0.6 and one(spark, arrow.zlib_ratio, noise + "padding " * 60_000) < 0.2
+    for t in ("", "plain text", "é😀 text", noise):
+        assert one(spark, arrow.zlib_ratio, t) == (min(1.0, len(zlib.compress(t.encode(), 1)) / len(t.encode())) if t else 1.0)
+    for t in ("", "a" * 12, "a" * 13, "é😀x" * 30, noise[:500] + noise[:90] + "😀é" * 20, noise):
+        grams = [t[i : i + 12] for i in range(len(t) - 11)]
+        assert one(spark, arrow.window_repetition(12), t) == pytest.approx(1 - len(set(grams)) / len(grams) if len(t) > 12 else 0.0)
+
+
 def test_mac_and_base64(spark):
     assert one(spark, lambda m: crypto.hmac_sha256(b"key", m), "mészáge") == hmac.new(b"key", "mészáge".encode(), hashlib.sha256).hexdigest()
     assert one(spark, crypto.decoded_base64, base64.b64encode(b"hello!").decode()) == "hello!"

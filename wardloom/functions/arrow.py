@@ -41,7 +41,16 @@ char_entropy_by_bytes = _mapped("double", lambda t: entropy_of(t, len(t.encode()
 byte_entropy = _mapped("double", lambda t: entropy_of(t.encode() if isinstance(t, str) else bytes(t)))
 nfc = _mapped("string", lambda t: unicodedata.normalize("NFC", t))
 nfkc = _mapped("string", lambda t: unicodedata.normalize("NFKC", t))
-zlib_ratio = _mapped("double", lambda t: min(1.0, len(zlib.compress(t.encode()[:65536], 1)) / max(1, len(t.encode()[:65536]))) if t else 1.0)
+
+
+def compression(text: str, piece: int = 65_536) -> float:
+    """Compressed over plain bytes of the whole text, at most 1; it is fed in pieces, and what comes out is only counted."""
+    packer, data = zlib.compressobj(1), memoryview(text.encode())
+    size = sum(len(packer.compress(data[i : i + piece])) for i in range(0, len(data), piece)) + len(packer.flush())
+    return min(1.0, size / len(data)) if len(data) else 1.0
+
+
+zlib_ratio = _mapped("double", compression)
 
 
 def _to_idna(host: str) -> str | None:
@@ -198,7 +207,14 @@ def window_ids(codes: np.ndarray, n: int) -> np.ndarray:
 
 def window_repetition(n: int):
     """UDF: 1 - distinct / all windows of ``n`` characters; 0 for texts of at most ``n``."""
-    return _mapped("double", lambda t: 0.0 if len(t) <= n else 1 - len({t[i : i + n] for i in range(len(t) - n + 1)}) / (len(t) - n + 1))
+
+    def run(text: str) -> float:
+        if len(text) <= n:
+            return 0.0
+        letters = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)[1]
+        return 1 - len(np.unique(window_ids(letters, n))) / (len(text) - n + 1)
+
+    return _mapped("double", run)
 
 
 _SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "DEVANAGARI", "THAI", "ARMENIAN")

@@ -215,8 +215,8 @@ def many_shot(text: Column, min_bytes: int = 25_000, window_bytes: int = 32_768,
     """A text that fills most of a context and is padding: it compresses well or repeats its n-grams."""
     size = F.octet_length(text)
     big = (size >= min_bytes) & (size / window_bytes >= min_fill)
-    sample = F.when(big, F.substring(text, 1, 65_536))
-    return verdict(_code(big & ((arrow.zlib_ratio(sample) <= squeeze) | (arrow.window_repetition(12)(sample) >= repeated)), "MANY_SHOT"))
+    whole = F.when(big, text)  # null, and so not measured, for the others
+    return verdict(_code(big & ((arrow.zlib_ratio(whole) <= squeeze) | (arrow.window_repetition(12)(whole) >= repeated)), "MANY_SHOT"))
 
 
 def poison_score(text: Column, max_control: float = 0.001, max_signs: float = 0.38) -> Column:
