@@ -102,6 +102,15 @@ def test_no_inlining_beyond_the_edge_limit(spark):
     assert found == len(brute_paths(METADATA[7]))
 
 
+def test_flat_table_keeps_values_beyond_the_edge_limit(spark):
+    df = spark.createDataFrame([("t", "1", '{"a":1,"b":"x","guards":[{"n":2,"v":"y"}],"labels":["z"]}')], RECORD)
+    plan = nested.analyse(df, SHAPE, max_edges=1)
+    table = lambda element: nested.flat_table(nested.shred(df, plan, SHAPE), plan, element).collect()
+    assert [r["values"] for r in table(nested.ROOT)] == [{"a": "1", "b": "x"}]
+    assert [r["values"] for r in table("guards")] == [{"n": "2", "v": "y"}]
+    assert [r["value"] for r in table("labels")] == ["z"]
+
+
 def test_nested_empty_and_very_deep(spark):
     assert nested.shred(spark.createDataFrame([], RECORD), nested.Plan(frozenset({"$"})), SHAPE).count() == 0
     deep = '{"a":' * 2000 + "[{}]" + "}" * 2000

@@ -366,7 +366,8 @@ def shred(records: DataFrame, plan: Plan, shape: Shape = Shape(), values: bool =
 def flat_table(shredded: DataFrame, plan: Plan, element: str) -> DataFrame:
     """The flat table of ``element``: keys, parent keys, position, and a text column per inlined value.
 
-    An inlined value whose name equals a key column gets the prefix ``v_``.
+    An inlined value whose name equals a key column gets the prefix ``v_``.  Where the plan is of no schema
+    graph (too many names for columns), ``values`` is the map of all of the element's values instead.
     """
     keys = ["origin", "record_key", "node_path", "parent_element", "parent_path", "position"]
     wanted = [*plan.columns.get(element, []), "value"]
@@ -374,4 +375,4 @@ def flat_table(shredded: DataFrame, plan: Plan, element: str) -> DataFrame:
     kind = "map<string,string>"
     rows = rows.withColumn("_values", F.from_json("columns", kind))
     picked = [F.element_at("_values", F.lit(c)).alias(f"v_{c}" if c in keys else c) for c in dict.fromkeys(wanted)]
-    return rows.select(*keys, *picked)
+    return rows.select(*keys, *picked, *([F.col("_values").alias("values")] if plan.tables is None else []))
