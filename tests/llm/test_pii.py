@@ -38,6 +38,12 @@ FOUND = [
 ]
 
 
+def test_gates_let_all_shapes_through():
+    names = pii.Names(["Maren"], ["O'Wickby", "Großholm"])
+    for text, value in (("NIE X-1234567-L noted", "X-1234567-L"), ("Ask Maren O'Wickby about it", "Maren O'Wickby"), ("Ask Maren Großholm about it", "Maren Großholm")):
+        assert [text[s.start : s.end] for s in pii.find_spans(text, names)] == [value]
+
+
 @pytest.mark.parametrize(("text", "kind", "value"), FOUND)
 def test_found(text, kind, value):
     assert [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text, NAMES)] == [(kind, value)]

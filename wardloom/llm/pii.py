@@ -382,7 +382,7 @@ def _persons(v: str, names: Names) -> Iterable[Span]:
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _DIGIT = re.compile(r"\d").search
 #: Enough digits for a number of a person: six with at most three other signs between two of them.
-_LONG_NUMBER = re.compile(r"(?<![-\d])\d(?:[ .\-()/]{0,3}\d){5}").search
+_LONG_NUMBER = re.compile(r"(?<!\d)\d(?:[ .\-()/]{0,3}\d){5}").search
 
 _RANK = {"EMAIL": 4, "STREET_ADDRESS": 3, "ID_NUMBER": 2, "PHONE": 1, "PERSON": 0}
 
@@ -402,7 +402,7 @@ def find_spans(text: str | None, names: Names) -> list[Span]:
         found += _ids(v)
     if _DIGIT(v):
         found += _addresses(v, low, words)
-    if not words.isdisjoint(names.family):
+    if not names.family.isdisjoint(_fold(w) for w in _NAME_WORD.findall(v)):
         found += _persons(v, names)
     found = [s for s in found if s.score >= THRESHOLD]
     if len(found) > 1:
