@@ -484,3 +484,20 @@ def test_package_stands_without_the_text_problems():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any(n.startswith("wardloom.llm") for n in names), path
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from wardloom.session import is_local, shared_folder
+
+    def session(master, folder=None):
+        kept = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: kept[-1] if kept else None, setCheckpointDir=kept.append, getConf=lambda: {"spark.checkpoint.dir": folder})
+        return SimpleNamespace(sparkContext=sc)
+
+    assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[2,1,1024]")
+    assert shared_folder(session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert "wardloom" in shared_folder(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077"))

@@ -33,25 +33,45 @@ def build_session(app: str = "wardloom", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests on one machine) a temporary folder is chosen.
+    Only where none is set and driver and executors are one process (tests) a temporary folder is chosen; a
+    cluster without the setting is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not is_local(sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="wardloom-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process: ``local``, ``local[n]``, but not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to a table in the shared folder and read back, so that its lineage ends there.
 
     Later stages read columns of it again instead of computing it again, also when an executor is lost.
-    The table is deleted when the driver's process ends.
+    The table is deleted by :func:`drop`, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wardloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wardloom_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a :func:`cut` that no later stage reads."""
+    path = getattr(df, "_wardloom_path", None)
+    if path:
+        _forget(df.sparkSession, path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
