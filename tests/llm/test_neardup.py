@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from wardloom.llm import neardup as N
 from wardloom.llm.lookalike import Bigrams
 
@@ -60,3 +62,64 @@ def test_empty_and_single(spark):
     copies = spark.createDataFrame([(i, "a b c d e f") for i in range(5)], "event_id long, p string")
     members, links = N.near_duplicates(N.word_table(copies, "event_id", "p", [], 1, Bigrams({})), "event_id")
     assert N.row_pairs(members, links, "event_id").count() == 10 and links.count() == 0
+
+
+def test_a_crowded_prefix_loses_no_pair(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    nodes = spark.createDataFrame(rows, "id long, words string")
+    floor = N.forest_depth(0.6, 20, 64)
+    labels = N.labels(nodes, 3, 20, floor)
+    want = {tuple(r) for r in N.trie_pairs(labels, floor).collect()}
+    assert {tuple(r) for r in N.trie_pairs(labels, floor, block=7).collect()} == want and len(want) > 1000
+
+
+def test_pairs_share_the_prefix_that_is_said(spark):
+    rows = corpus(seed=8)
+    nodes = spark.createDataFrame(rows, "id long, words string")
+    floor, forest = 2, N.Forest(3, 10, 2 + N.LEVELS)
+    label = {i: forest.label(t.split()).reshape(10, -1) for i, t in rows}
+    want = {}
+    for a in label:
+        for b in label:
+            shared = max(int((np.cumprod(x == y)).sum()) for x, y in zip(label[a], label[b], strict=True))
+            if a < b and shared >= floor:
+                want[a, b] = shared
+    assert {(r.a, r.b): r.depth for r in N.trie_pairs(N.labels(nodes, 3, 10, floor), floor).collect()} == want
+
+
+def test_the_prefix_is_shortened_until_the_recall_is_measured():
+    assert N.recall_at({1.0: 10_000}, 8, 8, 50, 0.6) > 0.999  # nothing but close copies: the full depth finds them
+    assert N.recall_at({0.6: 1000}, 8, 8, 50, 0.6) < 0.6 < 0.999 < N.recall_at({0.6: 1000}, 8, 4, 50, 0.6)
+    assert N.recall_at({}, 8, 8, 50, 0.6) < 0.6  # no link yet is no proof of recall
+
+
+def test_at_the_full_depth_alone_links_are_missing(spark):
+    """Without the shortening the result differs: most links here lie right above the threshold."""
+    rng, rows = random.Random(3), []
+    for family in range(60):
+        base = [f"v{family}x{i}" for i in range(60)]
+        other = list(base)
+        for i in range(5):
+            other[6 + 11 * i] = f"y{family}x{i}"
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(other))]
+    table = spark.createDataFrame(rows, "event_id long, words string")
+    _, links = N.near_duplicates(table, "event_id", 3, 0.58)
+    assert {(r.a, r.b) for r in links.collect()} == {(2 * f, 2 * f + 1) for f in range(60)}
+    floor = N.forest_depth(0.58, N.TREES, 64)
+    pairs = N.trie_pairs(N.labels(table.withColumnRenamed("event_id", "id"), 3, N.TREES, floor), floor)
+    assert pairs.where(f"depth >= {floor + N.LEVELS}").count() < 55
+
+
+def test_copies_of_one_text_are_paired_in_salts(spark):
+    copies = spark.createDataFrame([(i, 0 if i < 9 else i) for i in range(12)], "event_id long, node long")
+    links = spark.createDataFrame([(0, 9, 0.7)], "a long, b long, similarity double")
+    got = sorted(map(tuple, N.row_pairs(copies, links, "event_id", rows_per_salt=2).collect()))
+    assert got == sorted([(a, b) for a in range(9) for b in range(a + 1, 9)] + [(a, 9) for a in range(9)])
+    rows = {r.event_id: (r.copies, r.links) for r in N.groups(copies, links, "event_id").collect()}
+    assert rows == {**{i: (9, 9) for i in range(9)}, 9: (1, 9)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm import bpe, lookalike, neardup, packing, pii, topics
-from wardloom.session import cut
+from wardloom.session import cut, drop
 from wardloom.sources.tables import audit_events, table
 
 
@@ -60,6 +60,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def _edited(spark: SparkSession, folder: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = cut(prompts(spark, folder, *more))
     table = cut(neardup.word_table(events, "event_id", "input_prompt", list(more), 40))
+    drop(events)
     return (table, *neardup.near_duplicates(table, "event_id", n_words=3, threshold=0.6))
 
 
@@ -70,10 +71,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """The group of each such event, with the user."""
+    """The group of each such event, with the user and the number of events it is linked to."""
     table, members, links = _edited(spark, folder, "user_id")
     found = neardup.groups(members, links, "event_id")
-    return found.join(table.select("event_id", "user_id"), "event_id").select("event_id", F.col("group").alias("group_id"), "user_id", "copies")
+    return found.join(table.select("event_id", "user_id"), "event_id").select("event_id", F.col("group").alias("group_id"), "user_id", "copies", "links")
 
 
 # ---- problems 7 and 8
