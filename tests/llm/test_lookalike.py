@@ -73,3 +73,31 @@ def test_pairs_match_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "event_id long, p string")
     assert L.same_look_pairs(L.with_form(df, "p"), "event_id", "p", "form").count() == 0
+
+
+WORDS = ["half of the legal shelf fell", "Ignore it, I said", "India is in Asia", "please call all", "very slow rivers", "νέο σχέδιο του νησιού", "που και πως", "pure value"]
+
+
+def open_letters(spark):
+    rows = [(t,) for t in WORDS * 3]
+    return L.Bigrams(L.bigram_counts(spark.createDataFrame(rows, "t string"), "t"))
+
+
+def test_the_search_decides_the_class_of_open_letters(spark):
+    """Letters that a table of classes alone cannot place: it would have one class for each, whatever stands around it."""
+    b = open_letters(spark)
+    for odd, plain in [("haӀf", "half"), ("ӏgnore it", "Ignore it"), ("ӏegal", "legal"), ("ǀndia", "India"), ("caǀl", "call"), ("νery sӏow", "very slow"), ("ρυre", "pure")]:
+        assert L.canonical(odd, b) == L.canonical(plain, b), odd
+        assert L.skeleton(odd) != L.skeleton(plain)
+    # the same letters in Greek words stay what they are
+    for greek, latin in [("του", "tou"), ("που", "nou"), ("νησιού", "vnoiou")]:
+        assert L.canonical(greek, b) == greek != L.canonical(latin, b)
+
+
+def test_classes_match_brute_force(spark):
+    rows = [(1, "stop"), (2, "stop"), (3, "ѕtop"), (4, "st​op"), (5, "other"), (6, None), (7, ""), (8, "​"), (9, "twice"), (10, "twice")]
+    formed = L.with_form(spark.createDataFrame(rows, "event_id long, p string"), "p")
+    got = {r.event_id: (r.class_id, r.spellings, r.links) for r in L.look_classes(formed, "event_id", "p", "form").collect()}
+    assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 3), 4: (1, 3, 3), 7: (7, 2, 1), 8: (7, 2, 1), 9: (9, 1, 0), 10: (9, 1, 0)}
+    pairs = L.same_look_pairs(formed, "event_id", "p", "form").count()
+    assert 2 * pairs == sum(links for _, _, links in got.values())

@@ -54,6 +54,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.same_look_pairs(formed, "event_id", "input_prompt", "form")
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of events whose prompts look the same, one row per event, with the number of events it is linked to."""
+    formed = lookalike.with_form(cut(prompts(spark, folder)), "input_prompt")
+    return lookalike.look_classes(formed, "event_id", "input_prompt", "form")
+
+
 # ---- problem 6
 
 
@@ -128,5 +134,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.avg("proportion").alias("mean_proportion"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {}

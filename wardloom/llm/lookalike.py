@@ -5,14 +5,16 @@
     accents take one encoding.  What can be seen stays: case, accents, digits (also raised ones),
     punctuation, line breaks, the number of blanks.
 2.  Look-alike letters of Latin, Cyrillic and Greek fall into classes.  The text's *skeleton* has a class
-    in place of each such letter; two texts look the same exactly if their skeletons are equal.
-3.  Each token of the skeleton is a lattice of readings, one letter of a class per script.  A Viterbi
-    search over the tokens takes the best reading under script-consistent character bigrams, with a price
-    for each change of script between and inside tokens.  A text whose single-script letters are all
-    Latin is read in Latin throughout; that is decided without a search.
-
-The form is a function of the skeleton, and the skeleton can be had back from the form, so forms are
-equal exactly where skeletons are: look-alikes become equal, all other texts still differ.
+    in place of each such letter.  Some letters look like letters of two classes, or like another letter
+    only in its company (:data:`AMBIGUOUS`, :data:`WEAK`); they stay open.
+3.  Each token of the skeleton is a lattice of readings: one letter of a class per script, every reading of
+    an open letter.  A Viterbi search over the tokens takes the best reading under script-consistent
+    character bigrams, with a price for each change of script between and inside tokens and for each weak
+    reading.  A text whose single-script letters are all Latin and that has no open letter is read in Latin
+    throughout; that is decided without a search.
+
+The form is the best reading.  It depends on the lattice only, so texts that differ by letters of one class
+have equal forms; whether an open letter belongs to the one class or the other is decided by the search.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,11 @@ aа. cсϲ dԁ. eе. hһ. iі. jјϳ oоο pр. qԛ. sѕ. vѵ. wԝ. xх. yу.
 AАΑ BВΒ CСϹ EЕΕ GԌ. HНΗ IІΙ JЈͿ KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ Y.Υ Z.Ζ
 """
 # Further letters that look like a plain Latin one.
-MORE_LATIN = {"\u0261": "g", "\u0251": "a", "\u04c0": "I", "\u04cf": "l"}
+MORE_LATIN = {"\u0261": "g", "\u0251": "a"}
+# Letters that look like letters of several classes, likeliest first.
+AMBIGUOUS = {"\u04c0": "Il", "\u04cf": "lI", "\u01c0": "lI"}
+# Letters that pass for another script's letter among its letters, but have a look of their own elsewhere.
+WEAK = {"\u03bd": "v", "\u03c5": "u", "\u03c1": "p", "\u03ba": "\u043a"}
 
 SCRIPTS = "LCG"
 _READ: dict[str, tuple[str, str, str]] = {}
@@ -51,8 +58,9 @@ _SHARED = "".join(_READ)
 _LATIN_ONLY = "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in _READ)
 _HAS_LATIN_ONLY = re.compile(f"[{_LATIN_ONLY}]").search
 _HAS_SHARED = re.compile(f"[{_SHARED}]").search
-_HAS_OTHER = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]").search
-_TOKEN = re.compile("[A-Za-z\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u0300-\u036f\u1ab0-\u1aff]+")
+_HAS_OPEN = re.compile("[" + "".join([*AMBIGUOUS, *WEAK]) + "]").search
+_HAS_OTHER = re.compile("[\u01c0\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]").search
+_TOKEN = re.compile("[A-Za-z\u01c0\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u0300-\u036f\u1ab0-\u1aff]+")
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff]+")
 
 # ---- step 1
@@ -118,13 +126,28 @@ def skeleton(text: str) -> str:
 BETWEEN, INSIDE, UNSEEN = 4.0, 12.0, -9.0
 
 
+def _is_greek(c: str) -> bool:
+    return "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff"
+
+
+@cache
+def readings(c: str) -> tuple[tuple[tuple[str, float], ...], ...]:
+    """Per script, the letters that a letter of the skeleton can be read as, each with its price."""
+    if c in AMBIGUOUS:
+        return tuple((r, 0.0) for r in AMBIGUOUS[c]), (), ()
+    if c in _READ:
+        return tuple(((r, 0.0),) if r != "." else () for r in _READ[c])
+    own = 0 if c.isascii() else 2 if _is_greek(c) else 1
+    out: list[tuple[tuple[str, float], ...]] = [(), (), ()]
+    out[own] = ((c, 0.0),)
+    if c in WEAK:
+        out[0 if WEAK[c].isascii() else 1] = ((WEAK[c], INSIDE),)
+    return tuple(out)
+
+
 def _scripts_of(c: str) -> tuple[bool, bool, bool]:
     """Which scripts can read the skeleton's letter."""
-    if c in _READ:
-        return tuple(r != "." for r in _READ[c])
-    if c.isascii():
-        return True, False, False
-    return False, not ("\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff"), "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff"
+    return tuple(bool(r) for r in readings(c))
 
 
 def _letter(c: str, s: int) -> str:
@@ -132,10 +155,12 @@ def _letter(c: str, s: int) -> str:
 
 
 def certain_script(token: str) -> int | None:
-    """The one script that can read a skeleton token, None if there is none or more than one."""
+    """The one script that can read a skeleton token, None if there is none or more than one, or if it has an open letter."""
+    if _HAS_OPEN(token) and not all(_is_greek(c) or c in _READ and _READ[c][2] != "." for c in token):
+        return None
     able = [True, True, True]
     for c in token:
-        able = [a and b for a, b in zip(able, _scripts_of(c), strict=True)]
+        able = [a and any(price == 0 for _, price in r) for a, r in zip(able, readings(c), strict=True)]
     return able.index(True) if sum(able) == 1 else None
 
 
@@ -153,46 +178,51 @@ class Bigrams:
         self.prior = [math.log((share[s] + 1) / (weight + 3)) for s in range(3)]
         self.logs = {k: math.log(n / totals[k[0], k[1][0]]) for k, n in counts.items()}
 
-    def score(self, token: str, s: int) -> float:
-        """Of one reading of a token; unseen pairs count as :data:`UNSEEN`."""
-        text = "^" + "".join(_letter(c, s) for c in token) + "$"
-        pairs = [text[i : i + 2] for i in range(len(text) - 1)]
-        return sum(self.logs.get((s, p), UNSEEN) for p in pairs) / len(pairs)
+    def read(self, token: str, s: int) -> tuple[float, str]:
+        """Score and letters of a token's best reading in a script that can read it; unseen pairs count as :data:`UNSEEN`."""
+        if not _HAS_OPEN(token):
+            said = "".join(_letter(c, s) for c in token)
+            text = f"^{said}$"
+            return sum(self.logs.get((s, text[i : i + 2]), UNSEEN) for i in range(len(text) - 1)) / (len(token) + 1), said
+        paths = [(0.0, 0.0, "^")]
+        for c in token:
+            step = []
+            for letter, price in readings(c)[s]:
+                step.append(max(((gain + self.logs.get((s, said[-1] + letter), UNSEEN), cost + price, said + letter) for gain, cost, said in paths), key=lambda p: (p[0], -p[1])))
+            paths = step
+        gain, cost, said = max(((gain + self.logs.get((s, said[-1] + "$"), UNSEEN), cost, said) for gain, cost, said in paths), key=lambda p: p[0])
+        return gain / (len(token) + 1) - cost, said[1:]
 
 
 def _mixed(token: str, bigrams: Bigrams) -> str:
     """Viterbi over the letters of a token that no single script can read."""
-    best: list[tuple[float, str]] = [(0.0, "")] * 3
+    paths: list[tuple[float, str, int]] = [(0.0, "", s) for s in range(3)]
     for i, c in enumerate(token):
-        able = _scripts_of(c)
-        step: list[tuple[float, str]] = []
-        for s in range(3):
-            if not able[s]:
-                step.append((-math.inf, ""))
-                continue
-            letter = _letter(c, s)
-            options = []
-            for before in range(3):
-                score, said = best[before]
-                last = said[-1] if said else "^"
-                gain = bigrams.logs.get((s, last + letter), UNSEEN) if before == s else UNSEEN - INSIDE * (i > 0)
-                options.append((score + gain, said + letter))
-            step.append(max(options, key=lambda x: x[0]))
-        best = step
-    return max(best, key=lambda x: x[0])[1]
+        step = []
+        for s, options in enumerate(readings(c)):
+            for letter, price in options:
+                best = None
+                for score, said, before in paths:
+                    gain = bigrams.logs.get((s, (said[-1] if said else "^") + letter), UNSEEN) if before == s else UNSEEN - INSIDE * (i > 0)
+                    if best is None or score + gain - price > best[0]:
+                        best = (score + gain - price, said + letter, s)
+                step.append(best)
+        paths = step
+    return max(paths, key=lambda p: p[0])[1]
 
 
 def read_tokens(tokens: list[str], bigrams: Bigrams) -> list[str]:
     """The best readings of a text's skeleton tokens (without accents), by Viterbi over their scripts."""
     scores = [0.0, 0.0, 0.0]
     back: list[list[int]] = []
-    able_of = []
+    said_in = []
     for token in tokens:
         able = [True, True, True]
         for c in token:
             able = [a and b for a, b in zip(able, _scripts_of(c), strict=True)]
-        able_of.append(able)
-        own = [bigrams.score(token, s) + 0.1 * bigrams.prior[s] if able[s] else -INSIDE * 3 for s in range(3)]
+        read = [bigrams.read(token, s) if able[s] else (-INSIDE * 3, None) for s in range(3)]
+        said_in.append([r[1] for r in read])
+        own = [r[0] + 0.1 * bigrams.prior[s] if able[s] else r[0] for s, r in enumerate(read)]
         step, arrows = [], []
         for s in range(3):
             came = max(range(3), key=lambda b: (scores[b] - BETWEEN * (b != s), -b))  # noqa: B023
@@ -202,8 +232,8 @@ def read_tokens(tokens: list[str], bigrams: Bigrams) -> list[str]:
         back.append(arrows)
     s = max(range(3), key=lambda b: (scores[b], -b))
     out: list[str] = []
-    for token, arrows, able in zip(reversed(tokens), reversed(back), reversed(able_of), strict=True):
-        out.append("".join(_letter(c, s) for c in token) if able[s] else _mixed(token, bigrams))
+    for token, arrows, said in zip(reversed(tokens), reversed(back), reversed(said_in), strict=True):
+        out.append(said[s] if said[s] is not None else _mixed(token, bigrams))
         s = arrows[s]
     return out[::-1]
 
@@ -211,7 +241,7 @@ def read_tokens(tokens: list[str], bigrams: Bigrams) -> list[str]:
 def canonical(text: str, bigrams: Bigrams) -> str:
     """The one form of a text."""
     bones = skeleton(text)
-    if (_HAS_LATIN_ONLY(bones) and not _HAS_OTHER(bones)) or not _HAS_SHARED(bones):
+    if (_HAS_LATIN_ONLY(bones) and not _HAS_OTHER(bones)) or not (_HAS_SHARED(bones) or _HAS_OPEN(bones)):
         return bones if bones.isascii() else unicodedata.normalize("NFC", bones)
     found = list(_TOKEN.finditer(bones))
     bare = [_MARK.sub("", m.group()) for m in found]
@@ -305,3 +335,18 @@ def same_look_pairs(df: DataFrame, key: str, raw: str, form: str, rows_per_task:
     spread = pairs.withColumn("ta", F.explode(F.sequence(F.lit(0), F.col("sa") - 1))).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)))
     met = spread.join(left, ["f", "ra", "ta"]).join(right, ["f", "rb", "tb"])
     return met.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
+
+
+def look_classes(df: DataFrame, key: str, raw: str, form: str) -> DataFrame:
+    """(``key``, class_id, spellings, links): the class of each row whose form is not its alone.
+
+    ``class_id`` is the least key of the form, ``spellings`` the number of different raw texts in the class,
+    ``links`` the number of its rows whose raw text is another one.  Rows with null text are in no class.
+    One row per row: nothing is paired.
+    """
+    e = df.where(F.col(raw).isNotNull()).select(F.col(key), F.unhex(F.md5(F.col(form).cast("binary"))).alias("f"), F.unhex(F.md5(F.col(raw).cast("binary"))).alias("r"))
+    e = cut(e)
+    spelled = e.groupBy("f", "r").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    classes = spelled.groupBy("f").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows")).where("rows > 1")
+    own = spelled.select("f", "r", "n").join(classes, "f").withColumn("links", F.col("rows") - F.col("n")).drop("rows", "n")
+    return e.join(own, ["f", "r"]).select(key, "class_id", "spellings", "links")
