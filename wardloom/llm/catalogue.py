@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every value found in a prompt, once per event and kind."""
     found = pii.find_pii(prompts(spark, folder), "input_prompt", _names(spark, folder))
     rows = found.select("event_id", F.explode(F.array_distinct(F.transform("pii", lambda x: F.struct(x["pii_kind"].alias("pii_kind"), x["pii_text"].alias("pii_text"))))).alias("x"))
-    return rows.select("event_id", "x.pii_kind", "x.pii_text")
+    return rows.select("event_id", "x.pii_kind", "x.pii_text").where(F.col("pii_kind").isin(*pii.KINDS))
 
 
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Personal information in free text: found, scored, and replaced with typed placeholders.
 
-1.  Regular expressions and a name model propose spans of five kinds.  They look at a view of the text of
+1.  Regular expressions and a name model propose spans of seven kinds.  They look at a view of the text of
     the same length in which wide letters, odd blanks and hyphens have their plain form, so every span is
     also a span of the raw text.
-2.  Validators confirm or reject: mod-97 keys (French social insurance numbers, bank accounts), the mod-23
-    letter (Spanish identity cards), Luhn (payment cards, which are no identity numbers), numbering plans.
-3.  Words nearby raise or lower the score.  Spans below the threshold go; of overlapping ones the kind
-    whose shape says most wins, then the longer.
+2.  Validators confirm or reject: mod-97 (French social insurance numbers, bank accounts), the mod-23 letter
+    (Spanish identity cards), Luhn (payment cards), numbering plans.  Bank accounts and cards must pass theirs.
+    An identity number that fails its own stays below the threshold unless its context lifts it.
+3.  Words before and after a span raise or lower the score, and so does other personal information next to
+    it (a signature, a line of a list).  Spans below the threshold go; of overlapping ones the kind whose
+    shape says most wins, then the longer.
 
 Placeholders are ``[KIND_n]``; one value has the same number all through a text.
 """
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from wardloom.llm.lookalike import skeleton
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "PERSON")
+#: Kinds that only their checksum confirms.
+MONEY_KINDS = ("CARD", "ACCOUNT")
 THRESHOLD = 0.5
+#: What other personal information next to a number adds to its score.
+COMPANY = 0.2
 #: Names in a lexicon that goes to every task; a larger one is refused.
 MOST_NAMES = 1_000_000
 
@@ -86,6 +92,11 @@ def mod23_letter(digits: str, letter: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == letter.upper()
 
 
+def mod97_account(text: str) -> bool:
+    """Whether an account number's check digits are right: its first four signs moved to the end, letters as 10 to 35, it is 1 modulo 97."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
 # ---- context
 
 _WINDOW = 32
@@ -100,6 +111,12 @@ def _near(v: str, start: int) -> str:
     return before if before.isascii() else unicodedata.normalize("NFC", skeleton(before))
 
 
+def _after(v: str, end: int) -> str:
+    """The text after a span up to the end of its sentence."""
+    after = re.split(r"[.!?\n]", v[end : end + _WINDOW], maxsplit=1)[0]
+    return after if after.isascii() else unicodedata.normalize("NFC", skeleton(after))
+
+
 # ---- e-mail
 
 _AT = r"(?: ?\(at\) ?| ?\[at\] ?| ?\{at\} ?|@| at )"
@@ -194,9 +211,9 @@ def _ids(v: str) -> Iterable[Span]:
         if kind == "ssn":
             score = 0.7 if plain[:3] not in ("000", "666") else 0.3
         elif kind == "nir":
-            score = 0.9 if plain.isdigit() and mod97_key(plain) else 0.5
+            score = 0.9 if plain.isdigit() and mod97_key(plain) else 0.35
         elif kind == "dni":
-            score = 0.8 if mod23_letter(plain[:8], plain[8]) else 0.5  # the shape alone is seldom anything else
+            score = 0.8 if mod23_letter(plain[:8], plain[8]) else 0.35
         elif kind == "nie":
             score = 0.8 if mod23_letter(str("XYZ".index(plain[0])) + plain[1:8], plain[8]) else 0.3
         elif kind == "nino":
@@ -206,13 +223,33 @@ def _ids(v: str) -> Iterable[Span]:
         else:
             score = 0.5 if plain[:3] not in ("000", "666") else 0.3
         before = _near(v, m.start())
-        if _ID_WORDS.search(before):
+        if _ID_WORDS.search(before) or score < THRESHOLD and _ID_WORDS.search(_after(v, m.end())):
             score += 0.25
         if _NUMBER_WORDS.search(before) and not _ID_WORDS.search(before):
             score -= 0.4 if kind in ("nine", "pass") else 0.2
         yield Span(m.start(), m.end(), "ID_NUMBER", score)
 
 
+_ACCOUNT = re.compile(r"(?<![\w@/+\-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w@])")
+_CARD = re.compile(r"(?<![\w.@/+\-])(?:[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\w@]|[-/.]\d)")
+
+
+def _money(v: str) -> Iterable[Span]:
+    """Bank accounts and payment cards: only those whose checksum is right."""
+    for m in _ACCOUNT.finditer(v):
+        text, end = m.group(), m.end()
+        while len(text) >= 12:
+            if mod97_account(text.replace(" ", "")):
+                yield Span(m.start(), end, "ACCOUNT", 0.95)
+                break
+            # the last group may be a word of the text
+            text = text[: max(text.rfind(" "), 0)]
+            end = m.start() + len(text)
+    for m in _CARD.finditer(v):
+        if luhn(re.sub(r"\D", "", m.group())):
+            yield Span(m.start(), m.end(), "CARD", 0.95)
+
+
 # ---- street addresses
 
 # Words that end an English street's name, and those usually written short with a stop.
@@ -282,7 +319,8 @@ class Names:
     """Known given and family names, and the families that their parts make up.
 
     Family names are often a stem and an ending; stems that the lexicon has with several endings, and
-    endings that it has with several stems, also make names that it does not hold.
+    endings that it has with several stems, also make names that it does not hold.  Stems and endings are
+    kept apart and tried on the words of a text, so what is held is no larger than the lexicon.
     """
 
     def __init__(self, given: Iterable[str], family: Iterable[str]):
@@ -299,9 +337,20 @@ class Names:
                 if f.endswith(e) and len(f) - len(e) >= 3:
                     stems[f[: -len(e)]] += 1
                     break
-        used = [s for s, n in stems.items() if n >= 4]
-        full = {e for e in ends if sum(s + e in known for s in used) >= 4}
-        self.family = frozenset(known | {s + e for s in used for e in full})
+        self.known = frozenset(known)
+        self.stems = frozenset(s for s, n in stems.items() if n >= 4)
+        self.ends = frozenset(e for e in ends if sum(s in self.stems for s in by_end[e]) >= 4)
+        self.sizes = tuple(sorted({len(e) for e in self.ends}))
+        self.met: dict[str, bool] = {}
+
+    def is_family(self, word: str) -> bool:
+        """Whether a folded word is a family name."""
+        found = self.met.get(word)
+        if found is None:
+            if len(self.met) > 200_000:
+                self.met.clear()
+            found = self.met[word] = word in self.known or any(word[-n:] in self.ends and word[:-n] in self.stems for n in self.sizes if n < len(word))
+        return found
 
 
 def _style(word: str) -> str:
@@ -326,11 +375,11 @@ def _persons(v: str, names: Names) -> Iterable[Span]:
         w = words[i]
         low = _fold(w.group())
         i += 1
-        if low not in names.family:
+        if not names.is_family(low):
             continue
         start, end = w.start(), w.end()
         # double names: Family-Family
-        while i < len(words) and words[i].start() == end + 1 and v[end] == "-" and _fold(words[i].group()) in names.family:
+        while i < len(words) and words[i].start() == end + 1 and v[end] == "-" and names.is_family(_fold(words[i].group())):
             end = words[i].end()
             i += 1
         if start > 0 and v[start - 1] in "@._+/\\" or v[end : end + 1] in ("@", "_", "+", "\\"):
@@ -384,7 +433,25 @@ _DIGIT = re.compile(r"\d").search
 #: Enough digits for a number of a person: six with at most three other signs between two of them.
 _LONG_NUMBER = re.compile(r"(?<!\d)\d(?:[ .\-()/]{0,3}\d){5}").search
 
-_RANK = {"EMAIL": 4, "STREET_ADDRESS": 3, "ID_NUMBER": 2, "PHONE": 1, "PERSON": 0}
+_RANK = {"EMAIL": 4, "STREET_ADDRESS": 3, "CARD": 2, "ACCOUNT": 2, "ID_NUMBER": 1.5, "PHONE": 1.5, "PERSON": 0}
+_ONLY_SEPARATORS = re.compile(r"[\s,;|/*\-–—·]{1,6}").fullmatch
+
+
+def _lifted(v: str, found: list[Span]) -> list[Span]:
+    """Numbers just below the threshold gain by an accepted span of another kind that only separators part from them."""
+    if all(s.score >= THRESHOLD for s in found):
+        return found
+    begins = {s.start: s.kind for s in found if s.score >= THRESHOLD}
+    ends = {s.end: s.kind for s in found if s.score >= THRESHOLD}
+    out = []
+    for s in found:
+        if s.kind == "ID_NUMBER" and THRESHOLD - COMPANY <= s.score < THRESHOLD:
+            near = [begins[s.end + n] for n in range(1, 7) if s.end + n in begins and _ONLY_SEPARATORS(v[s.end : s.end + n])]
+            near += [ends[s.start - n] for n in range(1, 7) if s.start - n in ends and _ONLY_SEPARATORS(v[s.start - n : s.start])]
+            if any(kind != "ID_NUMBER" for kind in near):
+                s = s._replace(score=s.score + COMPANY)
+        out.append(s)
+    return out
 
 
 def find_spans(text: str | None, names: Names) -> list[Span]:
@@ -400,13 +467,14 @@ def find_spans(text: str | None, names: Names) -> list[Span]:
     if _LONG_NUMBER(v):
         found += _phones(v)
         found += _ids(v)
+        found += _money(v)
     if _DIGIT(v):
         found += _addresses(v, low, words)
-    if not names.family.isdisjoint(_fold(w) for w in _NAME_WORD.findall(v)):
+    if any(names.is_family(_fold(w)) for w in _NAME_WORD.findall(v)):
         found += _persons(v, names)
-    found = [s for s in found if s.score >= THRESHOLD]
+    found = [s for s in _lifted(v, found) if s.score >= THRESHOLD]
     if len(found) > 1:
-        found.sort(key=lambda s: (-_RANK[s.kind] if s.kind not in ("PHONE", "ID_NUMBER") else -1.5, -s.score, s.start - s.end, s.start))
+        found.sort(key=lambda s: (-_RANK[s.kind], -s.score, s.start - s.end, s.start))
         kept: list[Span] = []
         ends: dict[int, int] = {}
         for s in found:
