@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from wardloom.llm import topics
 
 
@@ -48,3 +50,45 @@ def test_no_documents(spark):
     words = topics.vocabulary(df, "text")
     bags = topics.word_ids(df, "doc_id", "text", list(words))
     assert words == {} and topics.assign(bags, "doc_id", topics.fit(bags, "doc_id", words, ["law"])).count() == 0
+
+
+def test_terms_only_name_the_topics_that_the_documents_give(spark, monkeypatch):
+    """No term enters the fit, and the terms alone find nothing: without a fit every topic is the language's mean."""
+    rows, truth, subjects = corpus(seed=2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = topics.vocabulary(df, "text")
+    bags = topics.word_ids(df, "doc_id", "text", list(words))
+    model = topics.fit(bags, "doc_id", words, subjects)
+    # words that no table has lead topics too
+    named = {s: terms for s, terms in zip(model.subjects, topics.top_terms(model, 60), strict=True) if s}
+    assert set(named) == set(subjects) and all(sum(f"{s}{chr(97 + i)}" in named[s] for i in range(12)) >= 6 for s in subjects)
+    flat = topics.Model(model.words, np.repeat(model.phi.mean(axis=1, keepdims=True), model.phi.shape[1], axis=1), [*subjects, None] + [None] * (len(model.subjects) - 5), model.settings, model.spoken)
+    found = {(r.doc_id, r.subject) for r in topics.assign(bags, "doc_id", flat).collect()}
+    right = {(d, s) for d, of in truth.items() for s in of}
+    assert len(found & right) < 0.5 * len(right) or len(found) > 1.5 * len(right)
+    monkeypatch.setattr(topics, "INSPECTED_TERMS", {})
+    again = topics.fit(bags, "doc_id", words, subjects)
+    assert np.allclose(again.phi, model.phi, rtol=1e-4) and set(again.subjects) == {None}
+    assert topics.assign(bags, "doc_id", again).count() == 0
+
+
+def test_vocabulary_is_bounded_by_shares(spark):
+    rows = [(i, f"the and of it word{i % 7}x {'rare' if i == 3 else 'often' if i % 2 else ''} {chr(97 + i % 26) * 9}") for i in range(4000)]
+    df = spark.createDataFrame([(i, t.replace(f"word{i % 7}x", "abcdefg"[i % 7] * 5)) for i, t in rows], "doc_id long, text string")
+    words = topics.vocabulary(df, "text")
+    assert "rare" not in words and "often" not in words and "aaaaa" in words and words["aaaaa"][0] == 572 and sum(words["aaaaa"][1:]) == 0
+
+
+def test_sentences_end_where_they_did(spark):
+    texts = ["One two. Three? four!five\n\nsix . . seven", "\n\n.", "...", "a.b c. ", "x" * 10 + "\r\ny", None, "1 2 3. word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = sorted({w for t in texts if t for w in topics._WORD(t.lower())})
+    got = {r.doc_id: r.tokens for r in topics.word_ids(df, "doc_id", "text", words).collect()}
+    import re
+
+    for i, t in enumerate(texts):
+        want = []
+        for s in re.split(r"(?<=[.!?…。])\s+|[\r\n]+", (t or "").lower()):
+            if found := topics._WORD(s):
+                want += [words.index(w) for w in found] + [topics.STOP]
+        assert got[i] == want, t

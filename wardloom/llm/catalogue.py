@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from wardloom.llm import bpe, lookalike, neardup, packing, pii, topics
 from wardloom.session import cut, drop
-from wardloom.sources.tables import audit_events, table
+from wardloom.sources.tables import audit_events, spread, table
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all of the cluster's slots where its files are fewer (CPU-bound work follows)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+#: Subjects at most: each is a topic of the model.
+MOST_SUBJECTS = 1_000
 
 
 def prompts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
@@ -117,7 +115,10 @@ def _topic_model(spark: SparkSession, folder: str) -> tuple[DataFrame, topics.Mo
     texts = spread(documents(spark, folder))
     words = topics.vocabulary(texts, "text")
     bags = cut(topics.word_ids(texts, "doc_id", "text", list(words)))
-    subjects = sorted(r.subject for r in table(spark, folder, "subject_areas").select("subject").distinct().limit(1000).collect())
+    rows = table(spark, folder, "subject_areas").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect()
+    if len(rows) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    subjects = sorted(r.subject for r in rows)
     return bags, topics.fit(bags, "doc_id", words, subjects)
 
 

@@ -1,12 +1,14 @@
-"""Subjects of documents by a distributed latent Dirichlet topic model.
-
-1.  A vocabulary over all documents (:func:`vocabulary`), and each document as its sentences' word ids.
-2.  Variational EM (:func:`fit`).  A document has a Dirichlet mixture of topics, each of its words one topic.
-    Every round runs over all documents where they lie; partitions return topic-word statistics of a fixed
-    size, which are added up in a tree.
-3.  Topics are mapped to subjects through their top terms (:func:`map_topics`): the terms a reader found at
-    the top of fitted topics are kept as a table of inspected terms, which also is the prior that keeps
-    topic k about subject k from one fit to the next.
+"""Subjects of documents by distributed latent Dirichlet topic models, one model per language.
+
+1.  A vocabulary over all documents (:func:`vocabulary`), and each document as its sentences' word ids with
+    its language (:func:`word_ids`).
+2.  Variational EM (:func:`fit`).  A document has a Dirichlet mixture of its language's topics, each of its
+    words one topic.  The start comes from the documents alone: words that meet each other least in
+    documents, found one after another on the words' co-occurrence, start a topic each.  Every round runs
+    over all documents where they lie; partitions return topic-word statistics of a fixed size, which are
+    added up in a tree.  No term table has a part in the fit.
+3.  Fitted topics are mapped to subjects through their top terms (:func:`map_topics`): the terms a reader
+    found at the top of fitted topics are kept as a table of inspected terms.
 4.  A sentence's subjects are those of its words' topics, common words left out; a document's subjects are
     those with at least a share of its proportions over sentences (:func:`assign`).
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.session import cut
+
 # Terms found at the top of fitted topics, by subject, in the corpus' four languages.
 INSPECTED_TERMS = {
     "law": "statute tribunal judge notary solicitor contract clause covenant injunction plaintiff verdict litigated arbitration jurisdiction affidavit gesetz urteil vertrag berufung klage recours contrat loi clause bail sentencia demanda ley arbitraje cláusula",
-    "software": "compiler parser database kernel cache refactored deployment developer branch scheduler thread debugged index queue stack übersetzer testlauf datenbank code serveur requête compilateur dépôt correctif módulo servidor compilador código consulta",
+    "software": "compiler parser database kernel cache refactored deployment developer maintainer reviewer tester release container idempotent stateless deprecated server request branch scheduler thread debugged index queue stack übersetzer testlauf datenbank code serveur requête compilateur dépôt correctif módulo servidor compilador código consulta",
     "security": "attacker malware exploit phishing backdoor firewall intrusion encrypted vulnerability jailbreak honeypot quarantine payload worm credential angriff schadcode passwort intrusion pare-feu faille attaque vulnerabilidad cortafuegos cuarentena contraseña ataque",
     "finance": "loan invoice portfolio equity dividend budget ledger cashier accountant treasurer payroll tax yield hedge deposit kredit konto steuer zins dividende facture banque taxe bilan préstamo impuesto cuenta factura presupuesto",
     "medicine": "patient nurse surgeon diagnosis vaccine prescription symptom dose fracture therapy clinic pharmacist fever surgery transfusion befund fieber medikament impfung médica patiente fièvre ordonnance chirurgie fiebre dosis cirugía vacuna clínica",
@@ -49,25 +53,31 @@ COMMON_TERMS = (
 _LANGUAGES = tuple(frozenset(line.split()) for line in COMMON_TERMS)
 
 _WORD = re.compile(r"[^\W\d_]+").findall
-_SENTENCE = re.compile(r"(?<=[.!?…。])\s+|[\r\n]+").split
-#: End of a sentence in a document's list of word ids.
-STOP = -1
+#: Words, and the signs that end a sentence: a stop, question or exclamation mark before a blank, and a line's end.
+_PARTS = re.compile(r"[^\W\d_]+|[.!?…。](?=\s)|[\r\n]").findall
+#: End of a sentence in a document's list of word ids, and a word outside the vocabulary.
+STOP, UNKNOWN = -1, -2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``least_docs`` and ``most_words`` bound the vocabulary, ``common`` is the share of a language's documents
-    above which a word says nothing, ``free`` the number of topics without inspected terms."""
+    """``least_docs`` and ``least_share`` (of a language's documents) bound the vocabulary from below, ``common``
+    is the share above which a word says nothing, ``extra`` the number of topics besides one per subject,
+    ``seeds`` the number of words per language on whose co-occurrence topics start."""
 
     least_docs: int = 3
-    most_words: int = 50_000
+    least_share: float = 0.001
     common: float = 0.25
-    free: int = 1
-    rounds: int = 4
-    inner: int = 2
+    extra: int = 6
+    seeds: int = 600
+    rounds: int = 5
+    inner: int = 3
     alpha: float = 0.1
     eta: float = 0.01
-    seed_weight: float = 0.05
+
+
+#: Words of a vocabulary that goes to the driver and to every task; a larger one is refused.
+MOST_WORDS = 1_000_000
 
 
 def language_of(words: set[str]) -> int:
@@ -77,12 +87,13 @@ def language_of(words: set[str]) -> int:
     return hits.index(most) if most > 1 else -1
 
 
-def vocabulary(docs: DataFrame, text: str, settings: Settings = Settings()) -> dict[str, int]:
-    """Document frequencies of the vocabulary's words over all documents.
+def vocabulary(docs: DataFrame, text: str, settings: Settings = Settings()) -> dict[str, tuple[int, ...]]:
+    """Number of documents per language that have a word, for the words of the vocabulary.
 
-    Words in fewer than ``least_docs`` documents, or in more than the share ``common`` of the documents of
-    one language (told by its commonest words), are left out; of the others the ``most_words`` most
-    frequent ones count, ties by the word.
+    A language (told by its commonest words) keeps the words that are in at least ``least_docs`` and the
+    share ``least_share`` of its documents; words in more than the share ``common`` of some language's
+    documents are left out.  All documents count.  A language thus keeps at most as many words as a document
+    has on average, divided by the share, however many documents there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,73 +114,104 @@ def vocabulary(docs: DataFrame, text: str, settings: Settings = Settings()) -> d
                 counts.clear()
         yield pack(counts)
 
-    by_language = docs.select(text).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = {r.lang: r.n for r in by_language.where("word = ''").collect()}
-    limit = F.lit(None).cast("double")
+    found = cut(docs.select(text).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("lang >= 0"))
+    totals = {r.lang: r.n for r in found.where("word = ''").collect()}
+    low = high = F.lit(None).cast("double")
     for lang, n in totals.items():
-        if lang >= 0:
-            limit = F.when(F.col("lang") == lang, F.lit(max(settings.common * n, float(settings.least_docs)))).otherwise(limit)
-    rows = (
-        by_language.where("word <> ''")
+        low = F.when(F.col("lang") == lang, F.lit(max(settings.least_share * n, float(settings.least_docs)))).otherwise(low)
+        high = F.when(F.col("lang") == lang, F.lit(max(settings.common * n, float(settings.least_docs)))).otherwise(high)
+    counts = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == i, F.col("n"))), F.lit(0)) for i in range(len(_LANGUAGES))])
+    kept = (
+        found.where("word <> ''")
         .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.max(F.coalesce(F.col("n") > limit, F.lit(False))).alias("common"))
-        .where(~F.col("common") & (F.col("n") >= settings.least_docs))
-        .orderBy(F.desc("n"), "word")
-        .limit(settings.most_words)
-        .collect()
+        .agg(F.max(F.coalesce(F.col("n") >= low, F.lit(False))).alias("enough"), F.max(F.coalesce(F.col("n") > high, F.lit(False))).alias("common"), counts.alias("counts"))
+        .where("enough and not common")
+        .select("word", "counts")
     )
-    return {r.word: r.n for r in rows}
+    rows = kept.limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"the vocabulary has more than {MOST_WORDS} words")
+    return {r.word: tuple(r.counts) for r in sorted(rows, key=lambda r: (-sum(r.counts), r.word))}
 
 
 def word_ids(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, tokens): each document's vocabulary words as ids, :data:`STOP` at the end of each sentence.
+    """(key, tokens, lang): each document's vocabulary words as ids, :data:`STOP` at the end of each sentence.
 
     A sentence ends at a stop, question or exclamation mark before a blank and at a line's end; one
-    without letters is none.  Null, empty and blank texts have an empty list.
+    without letters is none.  Null, empty and blank texts have an empty list.  ``lang`` is -1 where a text
+    has too few common words to tell.
     """
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.get
+        ids = shared.value | dict.fromkeys(".!?…。\r\n", STOP)
+        common = frozenset().union(*_LANGUAGES)
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 1000):
                 batch = whole.slice(at, 1000)
                 flat: list[int] = []
-                offsets = [0]
+                offsets, langs = [0], []
                 for t in batch.column(1).to_pylist():
                     if t:
-                        for s in _SENTENCE(t.lower()):
-                            found = _WORD(s)
-                            if found:
-                                flat += [i for i in map(known, found) if i is not None]
-                                flat.append(STOP)
+                        parts = _PARTS(t.lower())
+                        flat += [ids.get(p, UNKNOWN) for p in parts]
+                        flat.append(STOP)
+                        langs.append(language_of(common.intersection(parts)))
+                    else:
+                        langs.append(-1)
                     offsets.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "tokens"])
+                tokens, ends = np.array(flat, np.int32), np.array(offsets)
+                first = np.zeros(len(tokens), bool)
+                first[ends[:-1][ends[:-1] < ends[1:]]] = True
+                # no end of a sentence where none has begun
+                keep = (tokens != STOP) | ~(first | np.r_[True, tokens[:-1] == STOP][: len(tokens)])
+                keep &= tokens != UNKNOWN
+                ends = np.r_[0, np.cumsum(keep)][ends]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[keep]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.array(langs, np.int32))], names=[key, "tokens", "lang"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens array<int>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens array<int>, lang int")
 
 
 @dataclass
 class Model:
-    """Topic-word probabilities (words x topics) and each topic's subject or None."""
+    """Topic-word probabilities (words x topics, the languages' topics one after another), each topic's subject or
+    None, and the words' log frequencies per language."""
 
     words: list[str]
     phi: np.ndarray
     subjects: list[str | None]
     settings: Settings
+    spoken: np.ndarray
 
+    def of(self, lang: int) -> slice:
+        """The topics of a language."""
+        k = len(self.subjects) // len(_LANGUAGES)
+        return slice(lang * k, (lang + 1) * k)
 
-def _seeds(words: list[str], subjects: list[str], settings: Settings) -> np.ndarray:
-    """Words x topics: each subject's inspected terms with equal weights that add up to 1; free topics have none."""
-    index = {w: i for i, w in enumerate(words)}
-    seeds = np.zeros((len(words), len(subjects) + settings.free))
-    for j, subject in enumerate(subjects):
-        for w in _WORD(INSPECTED_TERMS.get(subject, subject)):
-            if w in index:
-                seeds[index[w], j] += 1.0
-    return seeds / np.maximum(seeds.sum(axis=0), 1)
+
+def starting_topics(met: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Words x topics: the words that go with each of ``k`` words which meet each other least.
+
+    ``met`` has the number of documents that two words share, ``docs`` the documents of each word.  A word is
+    the distribution of the words it meets, less the mean of all; the first of the ``k`` lies farthest from
+    it, each next one farthest from the span of those before.  Words in few documents start no topic.
+    """
+    share = met / np.maximum(met.sum(axis=1, keepdims=True), 1)
+    able = np.flatnonzero(docs >= max(5.0, 0.1 * docs.mean())) if len(docs) else np.zeros(0, int)
+    away = share[able] - (share[able].mean(axis=0) if len(able) else 0)
+    out = np.zeros((len(docs), k))
+    for j in range(min(k, len(able))):
+        norms = (away * away).sum(axis=1)
+        i = int(norms.argmax())
+        if norms[i] <= 1e-12:
+            break
+        out[:, j] = share[able[i]]
+        out[able[i], j] += 0.05
+        v = away[i] / np.sqrt(norms[i])
+        away = away - np.outer(away @ v, v)
+    return out / np.maximum(out.sum(axis=0), 1e-300)
 
 
 def infer(terms: np.ndarray, counts: np.ndarray, first: np.ndarray, phi: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +239,22 @@ def _terms(tokens: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.nd
     return (pairs % n_words).astype(np.int64), counts.astype(np.float32), first, own[first]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], spoken: np.ndarray, rows: int = 500) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(language, keys, tokens, offsets) of documents of one language; where it is not told, the likeliest by the words."""
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             batch = whole.slice(at, rows)
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy(zero_copy_only=False)
-            yield batch.column(0), lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+            tokens, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)
+            lang = batch.column(2).to_numpy(zero_copy_only=False).copy()
+            odd = np.flatnonzero((lang < 0) & (size > 0))
+            for d in odd:
+                own = tokens[offsets[d] - offsets[0] : offsets[d + 1] - offsets[0]]
+                lang[d] = int(spoken[own[own >= 0]].sum(axis=0).argmax())
+            for one in np.unique(lang[(lang >= 0) & (size > 0)]):
+                mine = lang == one
+                yield int(one), batch.column(0).filter(pa.array(mine)), tokens[np.repeat(mine, size)], np.r_[0, np.cumsum(size[mine])]
 
 
 def _added_up(parts: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.ndarray:
@@ -216,67 +267,97 @@ def _added_up(parts: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "m": [m.tobytes()]})
 
     n = parts.rdd.getNumPartitions()
-    while n > fan_in:
+    while n > 1:
         n = -(-n // fan_in)
         parts = parts.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInPandas(total, "part int, m binary")
-    out = np.zeros(shape[0] * shape[1])
-    for row in parts.select("m").toLocalIterator():
-        out += np.frombuffer(row.m, dtype=np.float64)
-    return out.reshape(shape)
+    rows = parts.select("m").collect()  # one matrix
+    return np.frombuffer(rows[0].m, dtype=np.float64).reshape(shape) if rows else np.zeros(shape)
 
 
-def fit(bags: DataFrame, key: str, words: dict[str, int], subjects: list[str], settings: Settings = Settings()) -> Model:
-    """The topic model of all documents in ``bags`` (:func:`word_ids`), by ``rounds`` rounds of EM.
+def _over_documents(bags: DataFrame, key: str, spoken: np.ndarray, shape: tuple[int, int], shared, step: Callable) -> np.ndarray:
+    """Sum over all documents of what ``step(shared value, language, tokens, offsets, statistics)`` adds to a partition's statistics."""
 
-    Subject topics start half from the inspected terms and half from the corpus' own frequencies
-    (``words``), free topics from the frequencies, so that words of no subject stay with them.
-    """
-    frequency = np.array(list(words.values()), dtype=np.float64)
-    frequency /= max(frequency.sum(), 1)
-    seeds = _seeds(list(words), subjects, settings)
-    k = seeds.shape[1]
-    phi = 0.5 * seeds + 0.5 * frequency[:, None]
-    rng = np.random.default_rng(1)
-    phi[:, k - settings.free :] *= 1 + 0.1 * rng.random((len(words), settings.free))
-    phi /= np.maximum(phi.sum(axis=0), 1e-300)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = shared.value
+        stats = np.zeros(shape)
+        for lang, _, tokens, offsets in _chunks(batches, spoken):
+            step(own, lang, tokens, offsets, stats)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([stats.tobytes()], pa.binary())], names=["part", "m"])
+
+    return _added_up(bags.select(key, "tokens", "lang").mapInArrow(run, "part int, m binary"), shape)
+
+
+def fit(bags: DataFrame, key: str, words: dict[str, tuple[int, ...]], subjects: list[str], settings: Settings = Settings()) -> Model:
+    """The topic models of all documents in ``bags`` (:func:`word_ids`), by ``rounds`` rounds of EM from topics that
+    the words' co-occurrence starts (:func:`starting_topics`).  ``subjects`` give the number of topics, and the
+    fitted topics their names."""
+    langs, k, v = len(_LANGUAGES), len(subjects) + settings.extra, len(words)
+    counts = np.array(list(words.values()), dtype=np.float64).reshape(v, langs)
+    share = counts / np.maximum(counts.sum(axis=0), 1)
+    spoken = np.log(share + 1e-7)
+    seeds = [np.argsort(-counts[:, i], kind="stable")[: settings.seeds] for i in range(langs)]
+    seeds = [s[counts[s, i] > 0] for i, s in enumerate(seeds)]
+    place = np.full((langs, v), -1)
+    for i, s in enumerate(seeds):
+        place[i, s] = np.arange(len(s))
     sc = bags.sparkSession.sparkContext
-    for _ in range(settings.rounds if words else 0):
-        shared = sc.broadcast(phi.astype(np.float32))
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            own = shared.value
-            stats = np.zeros(own.shape[::-1], np.float64)
-            for _, tokens, offsets in _chunks(batches):
-                terms, counts, first, _ = _terms(tokens, offsets, len(own))
-                if len(first):
-                    r, _ = infer(terms, counts, first, own, settings)
-                    for j in range(own.shape[1]):
-                        stats[j] += np.bincount(terms, weights=r[:, j], minlength=len(own))
-            stats = np.ascontiguousarray(stats.T)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([stats.tobytes()], pa.binary())], names=["part", "m"])
-
-        stats = _added_up(bags.select(key, "tokens").mapInArrow(step, "part int, m binary"), phi.shape)
+    phi = np.zeros((v, langs * k))
+    if v:
+        size = min(settings.seeds, v)
+
+        def meet(place: np.ndarray, lang: int, tokens: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> None:
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[tokens >= 0]
+            at = place[lang, tokens[tokens >= 0]]
+            has = np.zeros((len(offsets) - 1, size), np.float32)
+            has[doc[at >= 0], at[at >= 0]] = 1
+            stats[lang * size : (lang + 1) * size] += has.T @ has
+
+        shared = sc.broadcast(place)
+        met = _over_documents(bags, key, spoken, (langs * size, size), shared, meet)
+        shared.unpersist()
+        for i, s in enumerate(seeds):
+            square = met[i * size : i * size + len(s), : len(s)].copy()
+            docs = square.diagonal().copy()
+            np.fill_diagonal(square, 0)
+            own = np.zeros((v, k))
+            own[s, 1:] = starting_topics(square, docs, k - 1)
+            own[:, 0] = share[:, i]  # what all documents have in common
+            phi[:, i * k : (i + 1) * k] = 0.7 * own + 0.3 * share[:, i : i + 1]
+
+    def expect(phi: np.ndarray, lang: int, tokens: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> None:
+        own = phi[:, lang * k : (lang + 1) * k]
+        terms, n, first, _ = _terms(tokens, offsets, len(own))
+        if len(first):
+            r, _ = infer(terms, n, first, own, settings)
+            for j in range(k):
+                stats[lang * k + j] += np.bincount(terms, weights=r[:, j], minlength=len(own))
+
+    for _ in range(settings.rounds if v else 0):
+        shared = sc.broadcast((phi + 1e-12).astype(np.float32))
+        stats = _over_documents(bags, key, spoken, (langs * k, v), shared, expect).T
         shared.unpersist()
-        # the inspected terms weigh as a fixed share of all words, so that they mean the same at every size
-        weight = settings.seed_weight * stats.sum() / k
-        phi = stats + settings.eta + weight * seeds
-        phi /= phi.sum(axis=0)
-    model = Model(list(words), phi.astype(np.float32), [None] * k, settings)
+        heard = stats.reshape(v, langs, k).sum(axis=(0, 2)) > 0
+        phi = (stats + settings.eta) * np.repeat(heard, k)
+        phi /= np.maximum(phi.sum(axis=0), 1e-300)
+    model = Model(list(words), (phi + 1e-12).astype(np.float32), [None] * (langs * k), settings, spoken)
     model.subjects = map_topics(model, subjects)
     return model
 
 
-def top_terms(model: Model, n: int = 20) -> list[list[str]]:
-    """The terms that mark each topic most: frequent in it and more so than in the others."""
-    phi = model.phi.astype(np.float64)
-    lift = phi * np.log(phi / phi.mean(axis=1, keepdims=True)) if len(phi) else phi
-    return [[model.words[i] for i in np.argsort(-lift[:, j], kind="stable")[:n]] for j in range(phi.shape[1])]
+def top_terms(model: Model, n: int = 30) -> list[list[str]]:
+    """The terms that mark each topic most: frequent in it and more so than in its language's others."""
+    out = []
+    for lang in range(len(_LANGUAGES)):
+        phi = model.phi[:, model.of(lang)].astype(np.float64)
+        lift = phi * np.log(phi / phi.mean(axis=1, keepdims=True)) if len(phi) else phi
+        out += [[model.words[i] for i in np.argsort(-lift[:, j], kind="stable")[:n] if lift[i, j] > 0.05 * lift[:, j].max()] for j in range(phi.shape[1])]
+    return out
 
 
-def map_topics(model: Model, subjects: list[str], n: int = 20, least: int = 3) -> list[str | None]:
+def map_topics(model: Model, subjects: list[str], n: int = 30, least: int = 3) -> list[str | None]:
     """Each topic's subject: the one with most inspected terms among the topic's top terms, ``least`` at least."""
     known = {s: set(_WORD(INSPECTED_TERMS.get(s, s))) for s in subjects}
     out: list[str | None] = []
@@ -304,20 +385,21 @@ def assign(bags: DataFrame, key: str, model: Model, share: float = 0.15, heard:
         for j, s in enumerate(own.subjects):
             if s:
                 into[j, names.index(s)] = 1
-        for keys, tokens, offsets in _chunks(batches):
+        for lang, keys, tokens, offsets in _chunks(batches, own.spoken):
             terms, counts, first, docs = _terms(tokens, offsets, len(own.words))
             if not len(first) or not names:
                 continue
-            _, theta = infer(terms, counts, first, own.phi, own.settings)
+            phi = own.phi[:, own.of(lang)]
+            _, theta = infer(terms, counts, first, phi, own.settings)
             row = np.full(len(offsets) - 1, -1)
             row[docs] = np.arange(len(docs))
             stop = tokens == STOP
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             sentence = (np.cumsum(stop) - stop)[~stop]
-            r = own.phi[tokens[~stop]] * theta[row[doc[~stop]]]
+            r = phi[tokens[~stop]] * theta[row[doc[~stop]]]
             r /= r.sum(axis=1, keepdims=True)
             starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-            mass = np.add.reduceat(r @ into, starts, axis=0).astype(np.float64)
+            mass = np.add.reduceat(r @ into[own.of(lang)], starts, axis=0).astype(np.float64)
             total = mass.sum(axis=1, keepdims=True)
             mass = np.where(total >= heard, mass / np.maximum(total, 1e-12), 0.0)
             by_doc = np.zeros((len(offsets) - 1, len(names)))
@@ -332,4 +414,4 @@ def assign(bags: DataFrame, key: str, model: Model, share: float = 0.15, heard:
             )
 
     kind = bags.schema[key].dataType.simpleString()
-    return bags.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, subject string, proportion double")
+    return bags.select(key, "tokens", "lang").mapInArrow(run, f"`{key}` {kind}, subject string, proportion double")
