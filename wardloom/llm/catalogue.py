@@ -108,6 +108,11 @@ def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, table(spark, folder, "context_windows"), "doc_id")
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows used and the share of their space that is used, by kind of window."""
+    return packing.fill(p8_windows(spark, folder), table(spark, folder, "context_windows")).withColumn("filled", F.round("filled", 4))
+
+
 # ---- problem 9
 
 
@@ -135,5 +140,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.avg("proportion").alias("mean_proportion"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL: dict[str, str] = {}

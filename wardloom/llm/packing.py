@@ -122,10 +122,7 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str, group_items: int = GROU
         return one
 
     mixed = F.xxhash64(F.lit(7), F.col(key), F.col("piece"))
-    first = rest.withColumn("spread", mixed).groupBy("window_id", "grp").applyInPandas(run("a", groups == 1), schema)
-    if groups == 1:
-        return full.unionByName(_named(first, key))
-    first = cut(first)
+    first = cut(rest.withColumn("spread", mixed).groupBy("window_id", "grp").applyInPandas(run("a", False), schema))
     again = first.where("again")
     fewer = max(1, groups // 16)
     # the larger leftovers first: the second round has no stream of items to come
@@ -134,5 +131,12 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str, group_items: int = GROU
     return full.unionByName(_named(first.where("not again"), key)).unionByName(_named(second, key))
 
 
+def fill(packed: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, bins, least_bins, filled): windows used, the least number that could hold the tokens, and the share of space used."""
+    used = packed.groupBy("window_id", "bin").agg(F.sum("n_tokens").alias("n")).where("n > 0").groupBy("window_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("tokens"))
+    both = used.join(windows.select("window_id", "capacity_tokens").distinct(), "window_id")
+    return both.select("window_id", "bins", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"), (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("filled"))
+
+
 def _named(packed: DataFrame, key: str) -> DataFrame:
     return packed.select("window_id", "bin", key, "piece", "first_token", F.col("n").alias("n_tokens"))

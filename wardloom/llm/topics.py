@@ -368,7 +368,7 @@ def map_topics(model: Model, subjects: list[str], n: int = 30, least: int = 3) -
     return out
 
 
-def assign(bags: DataFrame, key: str, model: Model, share: float = 0.15, heard: float = 0.5) -> DataFrame:
+def assign(bags: DataFrame, key: str, model: Model, share: float = 0.15, heard: float = 1.0) -> DataFrame:
     """(key, subject, proportion): the subjects with at least ``share`` of a document's proportions.
 
     A sentence's proportions are the expected topics of its words given the document, over those topics
