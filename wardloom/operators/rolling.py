@@ -32,19 +32,19 @@ def daily_totals(df: DataFrame, key: str, time: str, value: Column) -> DataFrame
 
 
 def dense_days(daily: DataFrame, key: str, after: int) -> DataFrame:
-    """``daily`` with a zero row for each missing day from the key's first day to ``after`` days past its last.
+    """``daily`` with a zero row for each missing day from the key's first day to ``after`` days past its last, and
+    with ``_i``, the number of days since the key's first one.
 
-    A key has at most one row per calendar day here, so the one shuffle by key that all later windows
-    reuse is bounded by the calendar, however many rows a hot key had.
+    A key has at most one row per calendar day here, so the one shuffle by key that all later windows reuse
+    is bounded by the calendar, however many rows a hot key had.  Each day brings the empty days up to the
+    key's next one, so ``daily`` is read once.  A mistaken day far off makes a row for every day before it.
     """
-    spans = daily.groupBy(key).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    filler = spans.select(
-        key,
-        F.explode(F.sequence("_lo", F.date_add("_hi", after))).alias("day"),
-        F.lit(0).cast("long").alias("rows"),
-        F.lit(0).cast("long").alias("total"),
-    )
-    return daily.unionByName(filler).groupBy(key, "day").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    by_key = Window.partitionBy(key).orderBy("day")
+    apart = F.coalesce(F.datediff(F.lead("day").over(by_key), "day"), F.lit(after + 1))
+    since = F.datediff("day", F.first("day").over(by_key))
+    spread = daily.repartition(F.col(key)).withColumn("_n", apart).withColumn("_s", since).withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = lambda c: F.when(F.col("_d") == 0, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c)
+    return spread.select(key, F.date_add("day", F.col("_d")).alias("day"), own("rows"), own("total"), (F.col("_s") + F.col("_d")).alias("_i"))
 
 
 def trailing_totals(daily: DataFrame, key: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -57,16 +57,16 @@ def trailing_totals(daily: DataFrame, key: str, windows: tuple[int, ...] = (7, 3
     """
     if not windows or min(windows) < 1:
         raise ValueError("windows must be positive numbers of days")
-    dense = dense_days(daily, key, max(windows) - 1).repartition(F.col(key))
+    df = dense_days(daily, key, max(windows) - 1)
+    for w in windows:
+        df = df.withColumn("_b", F.floor(F.col("_i") / w))
+        block = Window.partitionBy(key, "_b").orderBy("day")
+        prefix = F.sum("total").over(block.rowsBetween(Window.unboundedPreceding, 0))
+        suffix = F.sum("total").over(block.rowsBetween(0, Window.unboundedFollowing))
+        df = df.withColumn(f"_prefix_{w}", prefix).withColumn(f"_suffix_{w}", suffix)
     by_key = Window.partitionBy(key).orderBy("day")
-    df = dense.withColumn("_i", F.row_number().over(by_key) - 1)
     for w in windows:
-        block = F.floor(F.col("_i") / w)
-        df = df.withColumn("_b", block)
-        head = Window.partitionBy(key, "_b").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        tail = Window.partitionBy(key, "_b").orderBy("day").rowsBetween(0, Window.unboundedFollowing)
-        df = df.withColumn("_prefix", F.sum("total").over(head)).withColumn("_suffix", F.sum("total").over(tail))
-        before = F.coalesce(F.lag("_suffix", w - 1).over(by_key), F.lit(0))
+        before = F.coalesce(F.lag(f"_suffix_{w}", w - 1).over(by_key), F.lit(0))
         whole = F.col("_i") % w == w - 1
-        df = df.withColumn(f"total_{w}", F.col("_prefix") + F.when(whole, 0).otherwise(before))
-    return df.drop("_i", "_b", "_prefix", "_suffix")
+        df = df.withColumn(f"total_{w}", F.col(f"_prefix_{w}") + F.when(whole, 0).otherwise(before))
+    return df.select(key, "day", "rows", "total", *[f"total_{w}" for w in windows])
