@@ -206,3 +206,19 @@ def test_sessions_leave_out_null_keys_and_times(spark):
     rows = [("a", datetime(2024, 1, 1)), (None, datetime(2024, 1, 1)), ("a", None)]
     got = sessions.sessions(spark.createDataFrame(rows, "k string, t timestamp"), ["k"], "t").collect()
     assert [(r.k, r.events) for r in got] == [("a", 1)]
+
+
+def test_keys_columns_and_empty_members(spark):
+    df = spark.createDataFrame([("t", str(i), m) for i, m in enumerate(METADATA)] + [("t", "e", '{"guards":[{}],"tags":[],"one":{},"x":{"y":[]}}')], RECORD)
+    plan = nested.analyse(df, SHAPE)
+    rows = nested.shred(df, plan, SHAPE)
+    checked = {r.element: (r.n_rows, r.repeated_keys, r.orphans) for r in nested.check_keys(rows).collect()}
+    counts = {r.element: r["count"] for r in rows.groupBy("element").count().collect()}
+    assert checked == {e: (n, 0, 0) for e, n in counts.items()}
+    broken = rows.where("element <> 'guards'")
+    assert sum(r.orphans for r in nested.check_keys(broken).collect()) == rows.where("parent_element = 'guards'").count() > 0
+    assert {r.element: r.repeated_keys for r in nested.check_keys(rows.unionByName(rows.where("element = 'hops'"))).collect()}["hops"] == 2 * counts["hops"]
+    root = nested.flat_table(rows, plan, nested.ROOT).where("record_key = 'e'").first()
+    assert (root["tags"], root["one"], root["x.y"]) == ("[]", "{}", "[]")
+    named = {(r.element, r.name) for r in nested.table_columns(rows).collect()}
+    assert ("$", "tags") in named and named >= {(e, c) for e in ("args",) for c in plan.columns[e]}

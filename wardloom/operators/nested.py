@@ -9,7 +9,8 @@
     (record key and node path), its parent's key, its position and the inlined values.
 4.  :func:`flat_table` gives one element's rows as a flat table with a column per inlined value.
 
-Scalar members of a list are instances of the list's element too: rows with a ``value`` and no object.
+Scalar members of a list are instances of the list's element too: rows with a ``value`` and no object.  An
+empty list, or an empty object that is inlined, is kept as the text ``[]`` or ``{}`` in its parent's row.
 """
 
 from __future__ import annotations
@@ -158,12 +159,16 @@ def _edges(root, shape: Shape, out: set) -> None:
         if isinstance(value, list):
             for member in value:
                 todo.append((opened(member), parent, name, True))
+            if not value and parent and not repeated:
+                out.add((parent, name, False, False))
             continue
         is_object = isinstance(value, dict)
         if is_object and not repeated and name in shape.list_fields:
             repeated = True
         out.add((parent, name, repeated, is_object))
         if is_object:
+            if not value and parent and not repeated:
+                out.add((parent, name, False, False))
             for k, v in value.items():
                 todo.append((opened(v), name, k, False))
 
@@ -287,14 +292,19 @@ def _inline(value: dict, plan: Plan, shape: Shape, path: str, prefix: str, into:
         child = opened(raw)
         where = f"{path}.{name}" if path else name
         if isinstance(child, list):
-            below.append((child, name, where, True, None))
+            if child:
+                below.append((child, name, where, True, None))
+            else:
+                into[prefix + name] = "[]"
         elif isinstance(child, dict):
             if name in shape.list_fields:
                 below.append((child, name, f"{where}[0]", True, 0))
             elif plan.has_table(name):
                 below.append((child, name, where, False, None))
-            else:
+            elif child:
                 _inline(child, plan, shape, where, f"{prefix}{name}.", into, below)
+            else:
+                into[prefix + name] = "{}"
         else:
             into[prefix + name] = child
 
@@ -376,3 +386,27 @@ def flat_table(shredded: DataFrame, plan: Plan, element: str) -> DataFrame:
     rows = rows.withColumn("_values", F.from_json("columns", kind))
     picked = [F.element_at("_values", F.lit(c)).alias(f"v_{c}" if c in keys else c) for c in dict.fromkeys(wanted)]
     return rows.select(*keys, *picked, *([F.col("_values").alias("values")] if plan.tables is None else []))
+
+
+def table_columns(shredded: DataFrame) -> DataFrame:
+    """(element, name, filled): every inlined column of every flat table, with the number of rows that have a value."""
+    values = shredded.select("element", F.explode(F.from_json("columns", "map<string,string>")).alias("name", "v"))
+    return values.groupBy("element", "name").agg(F.count("v").alias("filled"))
+
+
+def check_keys(shredded: DataFrame) -> DataFrame:
+    """(element, n_rows, repeated_keys, orphans) of every flat table.
+
+    ``repeated_keys`` are rows whose key (origin, record key, node path) another row has too, ``orphans`` rows
+    whose parent's key no row has.  Both are 0 if keys and foreign keys hold.
+    """
+    key = ["origin", "record_key", "node_path"]
+    rows = shredded.select(*key, "element", "parent_path")
+    # a key's rows and the rows that point to it meet in one aggregate, which combines on the map side
+    own = rows.select(*key, "element", F.lit(1).alias("own"), F.lit(0).alias("points"), F.lit(None).cast("string").alias("child"))
+    up = rows.where("parent_path is not null").select("origin", "record_key", F.col("parent_path").alias("node_path"), F.lit(None).cast("string").alias("element"), F.lit(0).alias("own"), F.lit(1).alias("points"), F.col("element").alias("child"))
+    met = own.unionByName(up).groupBy(*key, "child", "element").agg(F.sum("own").alias("own"), F.sum("points").alias("points"))
+    per_key = met.groupBy(*key).agg(F.sum("own").alias("own"), F.max("element").alias("element"), F.map_from_entries(F.collect_list(F.when(F.col("points") > 0, F.struct("child", "points")))).alias("children"))
+    mine = per_key.where("own > 0").select("element", F.col("own").alias("n_rows"), F.when(F.col("own") > 1, F.col("own")).otherwise(0).alias("repeated_keys"), F.lit(0).cast("long").alias("orphans"))
+    lost = per_key.where("own = 0").select(F.explode("children").alias("element", "orphans")).select("element", F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("repeated_keys"), "orphans")
+    return mine.unionByName(lost).groupBy("element").agg(*[F.sum(c).alias(c) for c in ("n_rows", "repeated_keys", "orphans")])

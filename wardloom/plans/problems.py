@@ -33,9 +33,18 @@ def metadata_plan(spark: SparkSession, folder: str) -> nested.Plan:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every object that stands in a list at any depth, from the shredded tables."""
-    rows = nested.shred(metadata_records(spark, folder), metadata_plan(spark, folder), SHAPE, values=False)
-    return rows.where("in_list and is_object").select("origin", "record_key", "node_path")
+    """Every object that stands in a list at any depth: rows of the flat tables of repeated elements."""
+    return p1_tables(spark, folder).where("in_list and is_object").select("origin", "record_key", "node_path")
+
+
+def p1_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Every flat table with its number of rows, of rows without a key of their own, and of rows whose parent is missing."""
+    return nested.check_keys(p1_tables(spark, folder))
+
+
+def p1_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of every flat table, with the number of rows that have a value there."""
+    return nested.table_columns(p1_tables(spark, folder))
 
 
 def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,6 +143,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_tables": p1_tables,
     "p1_findings": p1_findings,
+    "p1_keys": p1_keys,
+    "p1_columns": p1_columns,
     "p2_found": p2_found,
     "p2_rolling": p2_rolling,
     "p5_found": p5_found,
