@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 import unicodedata
 import zlib
@@ -80,19 +81,20 @@ def repetition(text: str) -> float:
 repetition_score = _mapped("double", repetition)
 
 
+_SIGN = re.compile(r"[^\w\s]|_").finditer
+
+
 def dense_signs(text: str, window: int = 50, limit: float = 0.3) -> bool:
     """Whether some window of characters has a share of signs (no letter, digit or blank) above ``limit``."""
     size = min(window, len(text.encode()))
     if size == 0 or len(text) < size:
         return False
-    flags = [not c.isalnum() and not c.isspace() for c in text]
-    inside = sum(flags[:size])
-    for i in range(len(flags) - size + 1):
-        if i:
-            inside += flags[i + size - 1] - flags[i - 1]
-        if inside / size > limit:
-            return True
-    return False
+    need = int(limit * size) + 1
+    # the least number of signs whose share is above the limit, in whole numbers
+    while (need - 1) / size > limit:
+        need -= 1
+    at = np.array([m.start() for m in _SIGN(text)])
+    return len(at) >= need and bool((at[need - 1 :] - at[: len(at) - need + 1] < size).any())
 
 
 sign_density = _mapped("boolean", dense_signs)
@@ -160,7 +162,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not m:
         return 0.0
     right = [c for c, u in zip(b, used, strict=True) if u]
-    moved = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    moved = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):

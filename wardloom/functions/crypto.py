@@ -15,8 +15,13 @@ def _pads(key: bytes) -> tuple[bytes, bytes]:
 
 def hmac_sha256(key: bytes, message: Column, hex_digits: int = 64) -> Column:
     """HMAC-SHA256 of the UTF-8 text, as the first ``hex_digits`` hexadecimal digits."""
+    return hmac_sha256_of(key, F.encode(message, "utf-8"), hex_digits)
+
+
+def hmac_sha256_of(key: bytes, message: Column, hex_digits: int = 64) -> Column:
+    """HMAC-SHA256 of bytes."""
     inner_pad, outer_pad = _pads(key)
-    inner = F.sha2(F.concat(F.lit(bytearray(inner_pad)), F.encode(message, "utf-8")), 256)
+    inner = F.sha2(F.concat(F.lit(bytearray(inner_pad)), message), 256)
     return F.substring(F.sha2(F.concat(F.lit(bytearray(outer_pad)), F.unhex(inner)), 256), 1, hex_digits)
 
 

@@ -36,7 +36,8 @@ INJECTION_PATTERNS = [
     r"(<|>|\{|\}|\[|\]){5,}",
     r"(?i)(new\s+task|new\s+objective|new\s+goal|override\s+task)",
 ]
-INDICATORS = ["AIM", "DAN", "DUDE", "STAN", "SWITCH"]
+# the two with small letters never stand in a text in capitals
+INDICATORS = ["DAN", "STAN", "DUDE", "AIM", "evil confidant", "SWITCH", "AlphaBreak"]
 DELIMITERS = {"</user_data>": "</user_data>", "<system>": "<system>", "</system>": "</system>", "<admin>": "<admin>", "<root>": "<root>", "<!--": "HTML comment", "-->": "HTML comment"}
 POISON_PHRASES = ["ignore previous instructions", "system prompt", "developer message", "you are an ai", "tool call", "reveal your rules", "print your instructions"]
 INTENT_PHRASES = ["ignore previous instructions", "system prompt", "developer message", "reveal your instructions"]

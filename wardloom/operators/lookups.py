@@ -322,11 +322,29 @@ def canary_hits(df: DataFrame, key: str, text: str, canaries: DataFrame) -> Data
     return hits.select(key, "token", F.size("positions").alias("hits"), "positions")
 
 
+_MARKS = {"inline": "{} [UNVERIFIED]", "strike": "~~{}~~", "remove": "", "footnote": "{}[^unverified]"}
+
+
+def mark_parts(text: str, parts: list[str], style: str) -> str:
+    """``text`` with each part marked where it stands as a whole, set in from right to left; of overlapping ones the longest."""
+    held: list[tuple[int, int]] = []
+    for part in sorted(set(parts), key=lambda p: (-len(p), p)):
+        for m in re.finditer(rf"(?<!\w){re.escape(part)}(?!\w)", text):
+            if all(m.end() <= a or b <= m.start() for a, b in held):
+                held.append(m.span())
+    for a, b in sorted(held, reverse=True):
+        text = text[:a] + _MARKS[style].format(text[a:b]) + text[b:]
+    return text
+
+
 def annotate_citations(df: DataFrame, key: str, text: str, checked: DataFrame, style: str = "inline") -> DataFrame:
     """``df`` with citations that were not found marked in the text: inline, strike, remove, footnote."""
-    mark = {"inline": lambda c: F.concat(c, F.lit(" [UNVERIFIED]")), "strike": lambda c: F.concat(F.lit("~~"), c, F.lit("~~")), "remove": lambda _: F.lit(""), "footnote": lambda c: F.concat(c, F.lit("[^unverified]"))}[style]
+    if style not in _MARKS:
+        raise ValueError(f"unknown style {style}")
+
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or p is None else mark_parts(t, list(p), style) for t, p in zip(texts, parts, strict=True)])
+
     missing = checked.where("status = 'NOT_FOUND'").groupBy(key).agg(F.collect_set("citation").alias("_c"))
-    # longer citations first, so that one inside another is not marked twice
-    ordered = F.array_sort("_c", lambda a, b: F.length(b) - F.length(a))
-    out = F.aggregate(ordered, F.col(text), lambda t, c: F.replace(t, c, mark(c)))
-    return df.join(missing, key, "left").withColumn(text, F.coalesce(out, F.col(text))).drop("_c")
+    return df.join(missing, key, "left").withColumn(text, marked(F.col(text), F.col("_c"))).drop("_c")

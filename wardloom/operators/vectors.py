@@ -25,8 +25,8 @@ def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, bl
     """(query, key, similarity, rank): the ``k`` nearest rows of every query, itself left out, ties by key.
 
     Queries are taken in blocks of at most ``block``; each block visits all rows where they lie, every
-    partition keeps its own k best per query, and only those meet in a shuffle.  Null and ragged vectors
-    have no neighbours.
+    partition keeps its own k best per query, and only those meet in a shuffle.  A vector's neighbours have
+    its length; null and empty vectors have none.
     """
     ordered = queries.where(F.col(vector).isNotNull()).select(key, vector)
     kind = rows.schema[key].dataType.simpleString()
@@ -37,34 +37,40 @@ def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, bl
         if not held:
             break
         last = held[-1][0]
-        ids = [r[0] for r in held]
-        size = max(len(r[1]) for r in held)
-        matrix = np.zeros((len(held), size))
-        for i, r in enumerate(held):
-            matrix[i, : len(r[1])] = r[1]
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+        groups = {}
+        for size in sorted({len(r[1]) for r in held} - {0}):
+            own = [r for r in held if len(r[1]) == size]
+            matrix = np.array([r[1] for r in own], dtype=np.float64)
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            groups[size] = ([r[0] for r in own], np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0))
 
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, size=size) -> Iterator[pa.RecordBatch]:
-            heaps: list[list] = [[] for _ in ids]
+        def best(batches: Iterator[pa.RecordBatch], groups=groups) -> Iterator[pa.RecordBatch]:
+            heaps: dict[object, list] = {q: [] for own, _ in groups.values() for q in own}
             for batch in batches:
-                pairs = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and len(v) == size]
-                for at in range(0, len(pairs), 512):
-                    keys = [p[0] for p in pairs[at : at + 512]]
-                    m = np.array([p[1] for p in pairs[at : at + 512]], dtype=np.float64)
-                    n = np.linalg.norm(m, axis=1, keepdims=True)
-                    sims = matrix @ np.divide(m, n, out=np.zeros_like(m), where=n > 0).T
-                    some = min(k + 1, sims.shape[1])
-                    for q, row in enumerate(sims):
-                        floor = np.partition(row, -some)[-some]
-                        for j in np.flatnonzero(row >= floor - 1e-12):
-                            if keys[j] != ids[q]:
-                                item = (row[j], -keys[j])
-                                if len(heaps[q]) < k:
-                                    heapq.heappush(heaps[q], item)
-                                elif item > heaps[q][0]:
-                                    heapq.heapreplace(heaps[q], item)
-            flat = [(ids[q], -b, a) for q, h in enumerate(heaps) for a, b in h]
+                pairs: dict[int, list] = {size: [] for size in groups}
+                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if v is not None and len(v) in pairs:
+                        pairs[len(v)].append((i, v))
+                for size, (own, matrix) in groups.items():
+                    for at in range(0, len(pairs[size]), 512):
+                        keys = [p[0] for p in pairs[size][at : at + 512]]
+                        m = np.array([p[1] for p in pairs[size][at : at + 512]], dtype=np.float64)
+                        n = np.linalg.norm(m, axis=1, keepdims=True)
+                        sims = matrix @ np.divide(m, n, out=np.zeros_like(m), where=n > 0).T
+                        some = min(k + 1, sims.shape[1])
+                        floors = np.partition(sims, -some, axis=1)[:, -some]
+                        for q, row, floor in zip(own, sims, floors, strict=True):
+                            heap = heaps[q]
+                            if len(heap) == k and row.max() < heap[0][0]:
+                                continue
+                            for j in np.flatnonzero(row >= floor - 1e-12):
+                                if keys[j] != q:
+                                    item = (row[j], -keys[j])
+                                    if len(heap) < k:
+                                        heapq.heappush(heap, item)
+                                    elif item > heap[0]:
+                                        heapq.heapreplace(heap, item)
+            flat = [(q, -b, a) for q, h in heaps.items() for a, b in h]
             columns = list(zip(*flat, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", key, "similarity"])
 

@@ -464,14 +464,17 @@ def vector_magnitude(spark, folder):
 # ---- noise, relational
 
 
-@query()
+_UNIFORM = lambda seed, key: f"cast(('0x' || substr(sha256('{seed}:' || cast({key} as varchar)), 1, 13)) as bigint) / 4503599627370496.0"
+
+
+@query(f"select event_type, n - sign(u) * ln(greatest(1 - 2 * greatest(abs(u), 1e-10), 1e-12)) as noisy from (select event_type, count(*) as n, {_UNIFORM(7, 'event_type')} - 0.5 as u from events group by event_type)")
 def laplace_counts(spark, folder):
-    return events(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", noise.laplace(F.col("n").cast("double"), 1.0, 1.0, 7).alias("noisy"))
+    return events(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", noise.laplace(F.col("n").cast("double"), F.col("event_type"), 1.0, 1.0, 7).alias("noisy"))
 
 
-@query()
+@query(f"select event_id, case when {_UNIFORM(7, 'event_id')} < exp(1) / (1 + exp(1)) then event_type = 'error' else event_type <> 'error' end as answer from events")
 def randomised_response(spark, folder):
-    return events(spark, folder).select("event_id", noise.randomised_response(F.col("event_type") == "error", 1.0, 7).alias("answer"))
+    return events(spark, folder).select("event_id", noise.randomised_response(F.col("event_type") == "error", F.col("event_id"), 1.0, 7).alias("answer"))
 
 
 @query("select r_name, n_name, count(*) as orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2")

@@ -31,13 +31,30 @@ def speculative_route(text: Column) -> Column:
     return F.when(D.stage_one(text)["tripped"], "BLOCK").otherwise(F.coalesce(*[F.when(route == k, v) for k, v in path.items()]))
 
 
+def mesh(text: Column) -> Column:
+    """(outcome, stream): a block or drift beats the route; the streamed text has its secrets masked."""
+    stopped = D.stage_one(text)["tripped"] | F.lower(text).contains("poison")
+    outcome = F.when(text.isNull(), None).when(stopped, "BLOCK").otherwise(intent_route(text))
+    return F.struct(outcome.alias("outcome"), F.replace(text, F.lit("SECRET"), F.lit("******")).alias("stream"))
+
+
+def anomalies(df: DataFrame, key: str, text: str, protected: DataFrame, most_bytes: int = 65_536) -> DataFrame:
+    """(key, kind, detail): oversize texts, which are looked at no further, imitated domains, and injection phrases."""
+    size = F.octet_length(text)
+    large = df.where(size > most_bytes).select(key, F.lit("INPUT_TOO_LARGE").alias("kind"), F.lit(None).cast("string").alias("detail"))
+    rest = df.where(size <= most_bytes)
+    domains = lookups.domain_findings(rest, key, text, protected).select(key, F.when(F.col("kind") == "TYPOSQUAT", "TYPOSQUAT_DETECTED").otherwise("HOMOGRAPH_SUSPECTED").alias("kind"), F.col("domain").alias("detail"))
+    phrase = rest.where(F.lower(text).contains("ignore previous instructions")).select(key, F.lit("JAILBREAK_ATTEMPT").alias("kind"), F.lit(None).cast("string").alias("detail"))
+    return large.unionByName(domains).unionByName(phrase)
+
+
 def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secret: bytes, heat_limit: int = 10, verified: DataFrame | None = None) -> DataFrame:
     """(key, code, redacted): the universal guard over prompts.
 
     Order: input rules, padding flood, injection, redaction failure, packages, system leak, escalation.  All
     but packages and escalation are one pass over the text.  Packages that the redacted text asks to install
-    must be in ``verified`` (package); without it none is.  Escalation is the per-user heat over time.  The
-    redacted text is given where no code is.
+    must be in ``verified`` (package); without it none is.  Escalation is the per-user heat over time of the
+    prompts that got as far.  The redacted text is given where no code is.
     """
     if verified is None:
         verified = df.sparkSession.createDataFrame([], "package string")
@@ -45,7 +62,7 @@ def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secr
     bad_input = F.col(user).isNull() | (F.octet_length(user) > 256) | t.isNull() | (F.octet_length(t) > 2_000_000)
     wrapped = rewrite.compatible(t)
     redacted, _ = rewrite.redact(df.select(key, user, time, text, wrapped.alias("_plain")), "_plain", secret)
-    injected = D.too_long(t)["tripped"] | D.signature(F.col("_n"))["tripped"] | D.injection_pattern(F.col("_n"))["tripped"] | D.encoding_attack(F.col("_n"))["tripped"] | D.delimiter(F.col("_n"))["tripped"]
+    injected = D.too_long(t)["tripped"] | D.signature(F.col("_n"))["tripped"] | D.injection_pattern(F.col("_n"))["tripped"] | D.encoding_attack(F.col("_n"))["tripped"] | D.sign_density(F.col("_n"))["tripped"] | D.delimiter(F.col("_n"))["tripped"] | D.jailbreak_indicator(F.col("_n"))["tripped"]
     checked = redacted.withColumn("_n", wrapped).select(
         key, user, time, "_plain",
         F.when(bad_input, "INPUT")
@@ -57,9 +74,11 @@ def guard_prompts(df: DataFrame, key: str, user: str, time: str, text: str, secr
     )
     checked = cut(checked)  # the packages, the fold and the join read it
     risky = lookups.package_findings(checked.where("_code is null"), key, "_plain", verified).select(key).distinct().withColumn("_risky", F.lit(True))
-    hot = folds.heat(checked, user, time, key, "_points", limit=heat_limit).select(key, F.col("tripped").alias("_hot"))
-    joined = checked.join(risky, key, "left").join(hot, key, "left")
-    code = F.coalesce("_code", F.when(F.col("_risky"), "EMG28"), "_leak", F.when(F.col("_hot"), "EMG29"))
+    held = checked.join(risky, key, "left").withColumn("_code", F.coalesce("_code", F.when(F.col("_risky"), "EMG28"), "_leak"))
+    # a prompt that is blocked before does not heat its user up
+    hot = folds.heat(held.where("_code is null"), user, time, key, "_points", limit=heat_limit).select(key, F.col("tripped").alias("_hot"))
+    joined = held.join(hot, key, "left")
+    code = F.coalesce("_code", F.when(F.col("_hot"), "EMG29"))
     return joined.select(key, code.alias("code"), F.when(code.isNull(), F.col("_plain")).alias("redacted"))
 
 
