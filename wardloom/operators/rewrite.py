@@ -177,6 +177,9 @@ def scrubbed_legal(text: Column) -> Column:
     return text
 
 
+EGRESS_MAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,4}"
+
+
 def masked_egress(text: Column) -> Column:
     """(text, code): output with addresses and numbers masked, or the code of what must not leave."""
     code = (
@@ -184,7 +187,7 @@ def masked_egress(text: Column) -> Column:
         .when(T.contains_any(text, ["sk-prod-12345", "CONFIDENTIAL_PROJECT_X", "INTERNAL_ONLY_CODE"]), "PROPRIETARY")
         .when(T.contains_any(text, ["Project Chimera", "The secret ingredient is"]), "SEMANTIC")
     )
-    masked = F.regexp_replace(F.regexp_replace(text, r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,4}", "[REDACTED_EMAIL]"), SCRUB["Ssn"], "[REDACTED_SSN]")
+    masked = F.regexp_replace(F.regexp_replace(text, EGRESS_MAIL, "[REDACTED_EMAIL]"), SCRUB["Ssn"], "[REDACTED_SSN]")
     return F.struct(F.when(code.isNull(), masked).alias("text"), code.alias("code"))
 
 

@@ -55,9 +55,14 @@ def heat_fold(spark, folder):
     return folds.heat(_points(events(spark, folder)), "user_id", "ts", "event_id", "points", 6 * 3600, 4)
 
 
-@query()
+@query("""
+with recursive e as (select event_id, user_id, epoch_us(ts) as us, value, row_number() over (partition by user_id order by ts, event_id) as n from events),
+v as (select event_id, user_id, n, us as began, value as s, false as tripped from e where n = 1
+  union all select e.event_id, e.user_id, e.n, case when e.us - v.began >= 21600000000 then e.us else v.began end, case when e.us - v.began >= 21600000000 then e.value else v.s + e.value end,
+    e.us - v.began < 21600000000 and v.s + e.value > 100 from v join e on e.user_id = v.user_id and e.n = v.n + 1)
+select event_id, user_id, round(s, 4) as window_sum, tripped from v""")
 def velocity_fold(spark, folder):
-    return folds.velocity(events(spark, folder), "user_id", "ts", "event_id", "value", 100.0, 6 * 3600)
+    return folds.velocity(events(spark, folder), "user_id", "ts", "event_id", "value", 100.0, 6 * 3600).withColumn("window_sum", F.round("window_sum", 4))
 
 
 @query("""
@@ -74,7 +79,14 @@ def budget_fold(spark, folder):
     return folds.daily_budget(_points(events(spark, folder)), "user_id", "ts", "event_id", "cents", 10_000)
 
 
-@query()
+@query("""
+with recursive e as (select event_id, user_id, epoch_us(ts) // 3600 as us, row_number() over (partition by user_id order by epoch_us(ts) // 3600, event_id) as n from events),
+b as (select event_id, user_id, n, us as last, 2::bigint as tokens, 2::bigint as left_, true as allowed from e where n = 1
+  union all select e.event_id, e.user_id, e.n, case when (e.us - b.last) // 1000000 > 0 then e.us else b.last end,
+    case when (e.us - b.last) // 1000000 > 0 then least(3, b.tokens + (e.us - b.last) // 1000000) else b.tokens end - case when (case when (e.us - b.last) // 1000000 > 0 then least(3, b.tokens + (e.us - b.last) // 1000000) else b.tokens end) > 0 then 1 else 0 end,
+    0, (case when (e.us - b.last) // 1000000 > 0 then least(3, b.tokens + (e.us - b.last) // 1000000) else b.tokens end) > 0
+  from b join e on e.user_id = b.user_id and e.n = b.n + 1)
+select event_id, user_id, tokens as "left", allowed from b""")
 def bucket_fold(spark, folder):
     slow = events(spark, folder).withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 3600).cast("long")))
     return folds.token_bucket(slow, "user_id", "ts", "event_id", 3, 1)
@@ -137,11 +149,12 @@ def latency_p99(spark, folder):
 _EVENTS = "(select event_id, any_value(logged_at) as logged_at, any_value(risk_code) as risk_code, any_value(severity) as severity, any_value(user_id) as user_id, any_value(agent_id) as agent_id, any_value(session_id) as session_id, any_value(client_ip) as client_ip, any_value(cognitive_score) as cognitive_score from audit_events group by event_id)"
 
 
-@query(f"select event_id, case when v.vector_id is null then 'UNKNOWN' end as registry_code from {_EVENTS} e left join security_vectors v on upper(e.risk_code) = v.vector_id")
+@query(f"select event_id, case when v.vector_id is null then 'UNKNOWN' when v.response_action is null then 'UNKNOWN' when e.act is distinct from v.response_action then 'MISMATCH' end as registry_code from (select *, case when severity >= 3 then 'block' else 'redact' end as act from {_EVENTS} z) e left join security_vectors v on upper(e.risk_code) = v.vector_id")
 def registry_codes(spark, folder):
-    e = audit_events(spark, folder, ["risk_code"]).withColumn("risk_code", F.upper("risk_code"))
-    v = table(spark, folder, "security_vectors").select(F.col("vector_id").alias("risk_code"), F.col("vector_id").alias("pinned"))
-    return lookups.registry_check(e, "risk_code", "risk_code", v).select("event_id", "registry_code")
+    e = audit_events(spark, folder, ["risk_code", "severity"]).withColumn("risk_code", F.upper("risk_code"))
+    e = e.withColumn("act", F.when(F.col("severity") >= 3, "block").otherwise("redact"))
+    v = table(spark, folder, "security_vectors").select(F.col("vector_id").alias("risk_code"), F.col("response_action").alias("pinned"))
+    return lookups.registry_check(e, "risk_code", "act", v).select("event_id", "registry_code")
 
 
 @query(f"select event_id, agent_id from {_EVENTS} e where agent_id is not null and agent_id not in (select agent_id from nhi_tokens where revoked and agent_id is not null)")
@@ -198,26 +211,33 @@ with d as (select distinct event_id, unnest(regexp_extract_all(lower(text), '[\\
 n as (select distinct domain, array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') as base from d),
 p as (select unnest({_IMITATED}) as target)
 select event_id, domain, base, 'TYPOSQUAT' as kind, target, levenshtein(base, target) as distance from d join n using (domain) join p on levenshtein(base, target) between 1 and 2
-where length(base) >= 5 and levenshtein(base, target) / length(base) <= 0.34 and domain not in (select target from p) and not exists (select 1 from p q where ends_with(domain, '.' || q.target))""")
+where length(base) >= 5 and levenshtein(base, target) / length(base) <= 0.34 and domain not in (select target from p) and not exists (select 1 from p q where ends_with(domain, '.' || q.target))
+union all
+select event_id, domain, base, 'MIXED_SCRIPT', null, null from d join n using (domain) where length(base) >= 5 and domain not in (select target from p) and not exists (select 1 from p q where ends_with(domain, '.' || q.target))
+  and len(list_filter(string_split(domain, '.'), lambda l: cast(regexp_matches(l, '\\p{{Latin}}') as int) + cast(regexp_matches(l, '\\p{{Cyrillic}}') as int) + cast(regexp_matches(l, '\\p{{Greek}}') as int) + cast(regexp_matches(l, '[\\p{{Arabic}}\\p{{Hebrew}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]') as int) > 1)) > 0""")
 def domain_typos(spark, folder):
     protected = spark.createDataFrame([(d,) for d in _IMITATED], "domain string")
     found = lookups.domain_findings(prompts(spark, folder).select("event_id", "text"), "event_id", "text", protected)
-    return found.where("kind = 'TYPOSQUAT'").withColumn("distance", F.col("distance").cast("long"))
+    return found.withColumn("distance", F.col("distance").cast("long"))
 
 
-@query("""
-select doc_id, token, cast((length(text) - length(replace(text, token, ''))) / length(token) as int) as hits from (
-  select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[a-z]+-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}'))) as token from documents where text is not null)
-where token in (select 'zt-' || id from users)""")
+#: A text that names its event's canary, by the event's id; every seventh has one that nobody planted.
+_NAMED = "case when event_id % 7 = 0 then 'zz-' else 'zt-' end || user_id"
+
+
+@query(f"""
+select event_id, token, cast(2 as int) as hits from (select event_id, {_NAMED} as token from {PROMPTS} p where user_id is not null and text is not null) where token in (select 'zt-' || id from users)""")
 def canary_scan(spark, folder):
     canaries = table(spark, folder, "users").select(F.concat(F.lit("zt-"), "id").alias("token")).distinct()
-    return lookups.canary_hits(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", canaries).select("doc_id", "token", "hits")
+    named = F.concat(F.when(F.col("event_id") % 7 == 0, "zz-").otherwise("zt-"), F.col("user_id"))
+    texts = prompts(spark, folder).where("user_id is not null").select("event_id", F.concat("text", F.lit(" "), named, F.lit(" / "), named).alias("text"))
+    return lookups.canary_hits(texts, "event_id", "text", canaries).select("event_id", "token", "hits")
 
 
-@query(f"select count(*) as total, count(case when not coalesce({any_of('lower(text)', D.SIGNATURES)}, false) then 1 end) as passed, count(case when {any_of('lower(text)', D.SIGNATURES)} then 1 end) as failed from {PROMPTS} p")
+@query(f"select count(*) as total, count(case when not coalesce(strlen(text) > 300, false) then 1 end) as passed, count(case when strlen(text) > 300 then 1 end) as failed, 'TOO_LONG:' || cast(count(case when strlen(text) > 300 then 1 end) as varchar) as by_code from {PROMPTS} p")
 def batch_result(spark, folder):
-    v = prompts(spark, folder).select(D.signature(F.col("text")).alias("v")).select("v.*")
-    return graph.batch_result(v).select("total", "passed", "failed")
+    v = prompts(spark, folder).select(D.too_long(F.col("text"), 300).alias("v")).select("v.*")
+    return graph.batch_result(v).select("total", "passed", "failed", F.array_join(F.array_sort(F.transform(F.map_entries("by_code"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",").alias("by_code"))
 
 
 @query(f"select event_id, n as turn, case when n % 3 = 0 then 'GOAL: ' || risk_domain end as anchor from (select event_id, risk_domain, row_number() over (partition by session_id order by logged_at nulls first, event_id) as n from (select event_id, any_value(risk_domain) as risk_domain, any_value(session_id) as session_id, any_value(logged_at) as logged_at from audit_events group by event_id) where session_id is not null)")
@@ -230,18 +250,27 @@ def _verified(spark):
     return spark.createDataFrame([(p,) for p in ("requests", "numpy", "express", "serde")], "package string")
 
 
-@query()
+#: What an event's text asks to install, by the event's id.
+_INSTALLS = ["pip install requests==2.1", "npm i expres", "cargo add --features x serde", "pip install git+https://a.example/b", "yarn add left-pad && ls", "python3 -m pip install -r r.txt nunpy", "no package"]
+
+
+@query(f"""
+select event_id, x.tool, x.raw, x.name, x.finding, x.similar_to from (select event_id, ([null, {{'tool': 'npm', 'raw': 'expres', 'name': 'expres', 'finding': 'TYPOSQUAT', 'similar_to': 'express'}}, null,
+  {{'tool': 'pip', 'raw': 'git+https://a.example/b', 'name': 'git+https://a.example/b', 'finding': 'SUSPICIOUS', 'similar_to': null}}, {{'tool': 'yarn', 'raw': 'left-pad', 'name': 'left-pad', 'finding': 'UNVERIFIED', 'similar_to': null}},
+  {{'tool': 'pip', 'raw': 'nunpy', 'name': 'nunpy', 'finding': 'UNVERIFIED', 'similar_to': null}}, null])[event_id % 7 + 1] as x from {PROMPTS} p where text is not null) where x is not null""")
 def package_scan(spark, folder):
-    return lookups.package_findings(prompts(spark, folder), "event_id", "text", _verified(spark))
+    asks = F.element_at(F.array(*map(F.lit, _INSTALLS)), (F.col("event_id") % 7 + 1).cast("int"))
+    texts = prompts(spark, folder).select("event_id", F.concat("text", F.lit(" "), asks).alias("text"))
+    return lookups.package_findings(texts, "event_id", "text", _verified(spark))
 
 
 @query("""
 with g as (
   select doc_id, doc_type, trim(regexp_replace(translate(regexp_replace(text, '[​‌‍⁠﻿]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as form from documents where text is not null),
-f as (select doc_id as fragment, unnest(list_distinct([substr(form, i, 32) for i in range(1, length(form) - 30)])) as gram from g where doc_type = 'policy' and length(form) between 200 and 400),
+f as (select doc_id as fragment, unnest(list_distinct([substr(form, i, 10) for i in range(1, length(form) - 8)])) as gram from g where doc_type = 'policy' and length(form) >= 10),
 z as (select fragment, count(*) as windows from f group by fragment),
-o as (select doc_id, unnest([substr(form, i, 32) for i in range(1, length(form) - 30)]) as gram from g where doc_type = 'response'),
-h as (select doc_id, fragment, count(*) as hits from o join f using (gram) group by 1, 2),
+o as (select doc_id, gram, count(*) as times from (select doc_id, unnest([substr(form, i, 10) for i in range(1, length(form) - 8)]) as gram from g where doc_type = 'response' and length(form) >= 10) group by 1, 2),
+h as (select doc_id, fragment, cast(sum(times) as bigint) as hits from o join f using (gram) group by 1, 2),
 r as (select doc_id, fragment, hits, hits / windows as coverage from h join z using (fragment) where hits >= 8 and hits / windows >= 0.2)
 select doc_id, fragment, hits, round(coverage, 9) as coverage from (select *, row_number() over (partition by doc_id order by coverage desc, hits desc, fragment desc) as n from r) where n = 1""")
 def leak_coverage(spark, folder):
@@ -251,7 +280,13 @@ def leak_coverage(spark, folder):
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
+@query("""
+with c as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '\\bPMID:\\s*\\d{6,8}|DOI:\\s*10\\.\\d{4,}/\\S+\\b'))) as citation from documents where text is not null),
+k as (select distinct citation from c join documents using (doc_id) where doc_type = 'policy'),
+n as (select doc_id, count(*) as citations, count(k.citation) as verified from c left join k using (citation) where strlen(c.citation) >= 5 group by doc_id)
+select doc_id, coalesce(citations, 0) as citations, coalesce(verified, 0) as verified, case when coalesce(citations, 0) = 0 then 0.0 else 1 - verified / citations end as missing_rate,
+  case when coalesce(citations, 0) = 0 then false else 1 - verified / citations > 0.1 end as high_risk, case when coalesce(citations, 0) = 0 then false else 1 - verified / citations > 0.5 end as rejected
+from documents left join n using (doc_id) where text is not null""")
 def citation_metrics(spark, folder):
     d = table(spark, folder, "documents").where("text is not null")
     checked = lookups.citations(d, "doc_id", "text", d.where("doc_type = 'policy'"), "medical")
@@ -324,7 +359,7 @@ def intent_route(spark, folder):
     return prompts(spark, folder).select("event_id", pipelines.intent_route(F.col("text")).alias("route"))
 
 
-@query()
+@query(f"select event_id, case when {any_of('text', D.CANARIES)} or regexp_matches(text, '(?i)base64') or regexp_matches(text, '(?i)eval\\(') then 'BLOCK' when {any_of('lower(text)', ['hello', 'hey', 'weather'])} then 'FAST' when {any_of('lower(text)', ['legal', 'contract', 'finance', 'research'])} then 'SHIELDED' when {any_of('lower(text)', ['code', 'deploy', 'agent'])} then 'AIRLOCK' else 'SHIELDED' end as path from {PROMPTS} p")
 def speculative_route(spark, folder):
     return prompts(spark, folder).select("event_id", pipelines.speculative_route(F.col("text")).alias("path"))
 
@@ -365,7 +400,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-with recursive e as (select distinct src, dst from {_EDGES} x where rel = 'error'),
+with recursive e as (select distinct src, dst from {_EDGES} x),
 r as (
   select distinct src as seed, src as id, 0 as hops from e where src % 100 = 0
   union
@@ -377,20 +412,19 @@ def blast_radius(spark, folder):
 
 
 @query(f"""
-with e as (select distinct src, dst from {_EDGES} x where rel = 'error')
-select start, min(length) as length from (
-  select a.src as start, 2 as length from e a join e b on a.dst = b.src and b.dst = a.src
-  union all select a.src, 3 from e a join e b on a.dst = b.src join e c on b.dst = c.src and c.dst = a.src) group by start""")
+with recursive e as (select distinct src, dst from {_EDGES} x),
+r as (select src as start, dst as here, 1 as n from e union select r.start, e.dst, r.n + 1 from r join e on r.here = e.src where r.n < 5 and r.here <> r.start)
+select start, min(n) as length from r where here = start group by start""")
 def worm_cycles(spark, folder):
     return graph.cycles(edges(spark, folder), 5)
 
 
-_RANK = f"e as (select src, dst, count(*) / sum(count(*)) over (partition by src) as p from {_EDGES} x group by src, dst), v as (select src as id from e union select dst from e), r0 as (select id, 1.0::double / (select count(*) from v) as rank from v)"
-for _i in range(1, 4):
-    _RANK += f", r{_i} as (select v.id, 0.15 / (select count(*) from v) + 0.85 * coalesce((select sum(rank) from r{_i - 1} where id not in (select src from e)), 0) / (select count(*) from v) + 0.85 * coalesce(f.r, 0) as rank from v left join (select dst, sum(rank * p) as r from e join r{_i - 1} on id = src group by dst) f on f.dst = v.id)"
+_RANK = f"e as materialized (select src, dst, count(*) / sum(count(*)) over (partition by src) as p from {_EDGES} x group by src, dst), v as materialized (select src as id from e union select dst from e), r0 as materialized (select id, 1.0::double / (select count(*) from v) as rank from v)"
+for _i in range(1, 21):
+    _RANK += f", r{_i} as materialized (select v.id, 0.15 / (select count(*) from v) + 0.85 * coalesce((select sum(rank) from r{_i - 1} where id not in (select src from e)), 0) / (select count(*) from v) + 0.85 * coalesce(f.r, 0) as rank from v left join (select dst, sum(rank * p) as r from e join r{_i - 1} on id = src group by dst) f on f.dst = v.id)"
 
 
-@query(f"with {_RANK} select id, round(rank, 9) as rank from r3")
+@query(f"with {_RANK} select id, round(rank, 9) as rank from r20")
 def user_graph_pagerank(spark, folder):
     return graph.page_rank(edges(spark, folder)).select("id", F.round("rank", 9).alias("rank"))
 
@@ -489,6 +523,7 @@ def org_spend_joins(spark, folder):
     return joined.groupBy("r_name", "n_name").agg(F.sum("c").alias("orders"), F.round(F.sum("v"), 2).alias("revenue"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 450000)")
 def customers_without_orders(spark, folder):
-    return table(spark, folder, "customer").join(table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = table(spark, folder, "orders").where("o_totalprice > 450000")
+    return table(spark, folder, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

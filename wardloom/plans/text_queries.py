@@ -96,7 +96,13 @@ for _on in ("documents", "prompts"):
 _LONG = rf"len(list_filter({TOKENS}, lambda w: strlen(w) > 30 and regexp_matches(w, '^[\p{{L}}\p{{N}}]+$'))) > 0"
 _ENCODED = f"case when (contains(text, 'base64') or contains(text, 'b64')) and {_LONG} then 'Base64' when regexp_matches(text, '0x[0-9a-fA-F]{{10,}}') then 'Hexadecimal' when {COUNT('%')} > 5 then 'URL encoding' end"
 add("detect_encoding", lambda t: with_detail(D.encoding_attack(t)), f"{flag(_ENCODED + ' is not null')}, {_ENCODED} as detail")
-add("detect_sign_density", lambda t: tripped(D.sign_density(t)))
+_SIGNS = r"list_filter(range(1, length(text) + 1), lambda i: regexp_matches(string_split(text, '')[i], '[^\p{L}\p{N}\s\p{Z}\x0b\x1c-\x1f\x{85}]'))"
+add(
+    "detect_sign_density",
+    lambda t: tripped(D.sign_density(t)),
+    f"""coalesce(case when length(text) >= 50 then len(list_filter(range(1, len(s) - 14), lambda i: s[i + 15] - s[i] < 50)) > 0
+    when length(text) < strlen(text) or text = '' then false else len(s) / length(text) > 0.3 end, false) as tripped from (select *, case when text <> '' then {_SIGNS} end as s from documents) d --""",
+)
 add("detect_delimiter", lambda t: with_detail(D.delimiter(t)), f"{flag(first_of('text', D.DELIMITERS) + ' is not null')}, {first_of('text', D.DELIMITERS)} as detail")
 _IND = first_of("upper(text)", {i: i for i in D.INDICATORS})
 add("detect_indicator", lambda t: with_detail(D.jailbreak_indicator(t)), f"{flag(_IND + ' is not null')}, {_IND} as detail", "prompts")
@@ -125,9 +131,12 @@ _POISON = (
 for _on in ("documents", "prompts"):
     add(f"score_poison_{_on}", lambda t: {"score": F.round(F.when(t.isNotNull(), D.poison_score(t)), 6)}, f"case when text is not null then round({_POISON}, 6) end as score", _on)
 add("detect_poison", lambda t: tripped(D.poisoned(t)), flag(f"{_POISON} >= 50"), "prompts")
-add("detect_smuggled", lambda t: with_detail(D.smuggled_token(t)))
+_PLAIN = f"lower(try(decode(from_base64(w))))"
+_SMUGGLED = f"list_filter([case when length(w) % 4 = 0 then {first_of(_PLAIN, {x: x for x in D.SMUGGLED})} end for w in {TOKENS} if regexp_matches(w, '^[A-Za-z0-9+/]{{8,}}={{0,2}}$')], lambda x: x is not null)"
+add("detect_smuggled", lambda t: with_detail(D.smuggled_token(t)), f"{flag(f'len({_SMUGGLED}) > 0')}, {_SMUGGLED}[1] as detail")
 add("detect_hidden_payload", lambda t: tripped(D.hidden_payload(t)), None, "prompts")
-add("detect_noisy_bytes", lambda t: tripped(D.noisy_bytes(t, 4.5)))
+_BYTES = "case when text = '' then 0.0 else list_aggregate(regexp_extract_all(hex(encode(text)), '..'), 'entropy') end"
+add("detect_noisy_bytes", lambda t: tripped(D.noisy_bytes(t, 4.5)), flag(f"{_BYTES} > 4.5"))
 add("detect_media_text", lambda t: with_code(D.media_text(t, F.lit("image/png"))), f"{flag(any_of('lower(trim(text))', D.MEDIA_PHRASES))}, case when {any_of('lower(trim(text))', D.MEDIA_PHRASES)} then 'INJECTION' end as code")
 add("detect_backdoor", lambda t: with_detail(D.code_backdoor(t)), f"{flag(any_of('text', D.BACKDOORS))}, {first_of('text', {b: b for b in D.BACKDOORS})} as detail")
 add("detect_script_operation", lambda t: with_detail(D.script_operation(t)), f"{flag(any_of('text', D.SCRIPT_OPERATIONS))}, {first_of('text', {b: b for b in D.SCRIPT_OPERATIONS})} as detail")
@@ -156,13 +165,13 @@ add(
     f"len({TOKENS}) >= 4 and {_RATIO('[A-Za-z]')} >= 0.35 and {_RATIO('[ \\t\\n\\x0b\\f\\r]')} >= 0.08 and 1 - {_RATIO('[A-Za-z]')} - {_RATIO('[0-9]')} - {_RATIO('[ \\t\\n\\x0b\\f\\r]')} <= 0.4500000001 as language",
 )
 add("measure_entropy", lambda t: {"entropy": F.round(arrow.char_entropy(t), 6)}, "round(case when text = '' then 0.0 else list_aggregate(string_split(text, ''), 'entropy') end, 6) as entropy")
-add("measure_entropy_bytes", lambda t: {"by_bytes": F.round(arrow.char_entropy_by_bytes(t), 6), "of_bytes": F.round(arrow.byte_entropy(t), 6)})
+add("measure_entropy_bytes", lambda t: {"by_bytes": F.round(arrow.char_entropy_by_bytes(t), 6), "of_bytes": F.round(arrow.byte_entropy(t), 6)}, f"round(case when text = '' then 0.0 else list_sum([-(k / strlen(text)) * log2(k / strlen(text)) for k in map_values(list_histogram(string_split(text, '')))]) end, 6) as by_bytes, round({_BYTES}, 6) as of_bytes")
 add("measure_compression", lambda t: {"ratio": F.round(arrow.zlib_ratio(t), 2)})
 
 # ---- rewriting
 
 add("rewrite_tags", lambda t: {"text": R.without_tags(t)}, "regexp_replace(text, '[\U000e0000-\U000e007f​-‍⁠﻿]', '', 'g') as text")
-add("rewrite_controls", lambda t: {"text": R.without_controls(t)})
+add("rewrite_controls", lambda t: {"text": R.without_controls(t)}, "regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g') as text")
 add("rewrite_compatible", lambda t: {"text": R.compatible(t)}, None, "prompts")
 add("rewrite_plain", lambda t: {"text": R.plain(t)["text"], "error": R.plain(t)["error"]}, None, "prompts")
 add("rewrite_fingerprint", lambda t: {"text": R.fingerprint_form(t)}, f"trim(regexp_replace(translate(regexp_replace(text, '[{T.ZERO_WIDTH}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as text")
@@ -172,25 +181,28 @@ add("rewrite_markdown", lambda t: {"text": R.flat_markdown(t)}, r"regexp_replace
 add("rewrite_salience", lambda t: {"text": R.flat_salience(t)}, "replace(replace(replace(replace(regexp_replace(text, '^#+', ''), '<IMPORTANT>', ''), '</IMPORTANT>', ''), '<SYSTEM>', ''), '</SYSTEM>', '') as text")
 add("rewrite_wrapped", lambda t: {"text": R.wrapped(t)}, None, "prompts")
 add("rewrite_padded", lambda t: {"text": R.padded(t, 16), "size": F.octet_length(R.padded(t, 16))}, "text || repeat(' ', (16 - strlen(text) % 16) % 16) as text, strlen(text) + (16 - strlen(text) % 16) % 16 as size")
-add("rewrite_digits", lambda t: {"text": R.blurred_digits(t)}, None, "prompts")
+add("rewrite_digits", lambda t: {"text": R.blurred_digits(t)}, "array_to_string([case when regexp_matches(x, '^[0-9]{5}') then left(x, 4) || repeat('#', length(x) - 4) else x end for x in regexp_extract_all(text, '[0-9]+|[^0-9]+')], '') as text", "prompts")
 add("rewrite_html", lambda t: {"text": R.escaped_html(t)}, "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as text")
 add("rewrite_rag", lambda t: {"text": R.without_rag_injection(t)}, r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)ignore\s+previous\s+instructions', '[REDACTED_RAG_INJECTION]', 'g'), '(?i)system\s+override', '[REDACTED_RAG_INJECTION]', 'g'), '(?i)important:\s+forget\s+all\s+settings', '[REDACTED_RAG_INJECTION]', 'g') as text")
 add("rewrite_leet", lambda t: {"text": R.leet_read(t)}, "translate(text, '4310@$57', 'aeioasst') as text")
-add("rewrite_fenced_json", lambda t: {"text": R.fenced_json(t)})
-_ORDER = [k for k in R.SCRUB if k != "CreditCard"]
+add("rewrite_fenced_json", lambda t: {"text": R.fenced_json(t)}, r"trim(regexp_replace(regexp_replace(text, '^\x{FEFF}', ''), '(?s)^\s*```(?:json)?\s*|\s*```\s*$', '', 'g'), ' ') as text")
 _SCRUB = "text"
-for _k in _ORDER:
+_HASH = "text"
+for _k in R.SCRUB:
     _SCRUB = f"regexp_replace({_SCRUB}, {lit(R.SCRUB[_k])}, {lit(f'[REDACTED_{_k}]')}, 'g')"
+    # pieces: a match, or one character; a match is always longer
+    _HASH = f"(select case when not regexp_matches(t, {lit(R.SCRUB[_k])}) then t else array_to_string([case when length(x) > 1 then '[HASH:' || left(sha256(x), 8) || ']' else x end for x in regexp_extract_all(t, {lit(R.SCRUB[_k] + '|(?s:.)')})], '') end from (select {_HASH} as t))"
 for _on in ("documents", "prompts"):
-    add(f"scrub_token_{_on}", lambda t: {"text": R.scrubbed(t, "token", _ORDER)}, None, _on)
-    add(f"scrub_hash_{_on}", lambda t: {"text": R.scrubbed(t, "hash", _ORDER)}, None, _on)
-SQL["scrub_token_documents"] = f"select doc_id, {_SCRUB} as text from documents"
-add("scrub_cards", lambda t: {"text": R.scrubbed(t, "remove", ["CreditCard"])})
+    add(f"scrub_token_{_on}", lambda t: {"text": R.scrubbed(t, "token")}, f"{_SCRUB} as text", _on)
+    add(f"scrub_hash_{_on}", lambda t: {"text": R.scrubbed(t, "hash")}, f"{_HASH} as text", _on)
+add("scrub_cards", lambda t: {"text": R.scrubbed(t, "remove", ["CreditCard"])}, f"regexp_replace(text, {lit(R.SCRUB['CreditCard'])}, '', 'g') as text")
 _LEGAL = "text"
 for _n, _k in (("SSN", "Ssn"), ("EMAIL", "Email"), ("PHONE", "Phone")):
     _LEGAL = f"regexp_replace({_LEGAL}, {lit(R.SCRUB[_k])}, {lit(f'<{_n}_REDACTED>')}, 'g')"
 add("scrub_legal", lambda t: {"text": R.scrubbed_legal(t)}, f"{_LEGAL} as text")
-add("scrub_egress", lambda t: {"text": R.masked_egress(t)["text"], "code": R.masked_egress(t)["code"]}, None, "prompts")
+_EGRESS = f"case when {any_of('text', ['CTX-9982-SECRET', 'ZTX-CANARY-01'])} then 'SYSTEM_PROMPT_LEAK' when {any_of('text', ['sk-prod-12345', 'CONFIDENTIAL_PROJECT_X', 'INTERNAL_ONLY_CODE'])} then 'PROPRIETARY' when {any_of('text', ['Project Chimera', 'The secret ingredient is'])} then 'SEMANTIC' end"
+_MASKED = f"regexp_replace(regexp_replace(text, {lit(R.EGRESS_MAIL)}, '[REDACTED_EMAIL]', 'g'), {lit(R.SCRUB['Ssn'])}, '[REDACTED_SSN]', 'g')"
+add("scrub_egress", lambda t: {"text": R.masked_egress(t)["text"], "code": R.masked_egress(t)["code"]}, f"case when {_EGRESS} is null then {_MASKED} end as text, {_EGRESS} as code", "prompts")
 
 _KEY = b"test key of the redaction queries"
 
