@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import bpe, lookalike, neardup, packing, pii, topics
+from wardloom.llm import bpe, lookalike, neardup, oracles, packing, pii, topics
 from wardloom.session import cut, drop
 from wardloom.sources.tables import audit_events, spread, table
 
@@ -141,4 +141,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_shares": p9_shares, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes, "p6_found": p6_found, "p6_groups": p6_groups}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**oracles.SQL}
