@@ -1,9 +1,10 @@
 """State per key over ordered events: decaying heat, velocities, budgets, buckets, running and rolling measures.
 
-A fold is sequential by nature.  No key is folded as a whole, though: its events are cut where the state is
-known to start anew (after a gap that resets it, or at a new day), and each piece is folded by itself, in
-the order of time and event id.  Pieces are found from slot intervals, so a hot key is never sorted in one
-task; running totals are prefix sums over days plus a running sum inside the day.
+A fold is sequential by nature.  Its events are cut where the state is known to start anew (after a gap that
+resets it, or at a new day), and each piece is folded by itself, in the order of time and event id.  Pieces
+are found from slot intervals.  A key that is never idle is one piece: it streams through one task, which
+holds one state, but its rows are sorted there.  Running totals are prefix sums over days plus a running
+sum inside the day.
 """
 
 from __future__ import annotations
@@ -140,16 +141,26 @@ def rolling_distinct(df: DataFrame, key: str, time: str, id_: str, value: Column
     """(key, id, total, distinct): events and distinct values in the trailing window of each event.
 
     Events go to the slot of their window length and, as history only, to the next one; each slot is
-    then a small group of its own.  ``exclusive`` leaves out an event exactly the window's length old.
+    then a small group of its own.  A value counts from one of its events until its next one or until that
+    event leaves the window, so distinct values are a running sum of beginnings and ends, and no set of
+    values is held.  ``exclusive`` leaves out an event exactly the window's length old.  Null values are no value.
     """
     width = window_seconds * 1_000_000
     us = F.unix_micros(F.col(time))
     rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, id_, us.alias("_us"), value.alias("_v"))
     slot = F.floor(F.col("_us") / width)
-    both = rows.withColumn("_slot", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_slot") == slot)
-    w = Window.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-width + (1 if exclusive else 0), 0)
-    measured = both.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("distinct", F.size(F.collect_set("_v").over(w)))
-    return measured.where("_own").select(key, id_, F.col("total").cast("long"), F.col("distinct").cast("long"))
+    both = rows.withColumn("_slot", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_slot") == slot).repartition(F.col(key), F.col("_slot"))
+    again = F.lead("_us").over(Window.partitionBy(key, "_slot", "_v").orderBy("_us"))
+    leaves = F.col("_us") + width + (0 if exclusive else 1)
+    counts = F.col("_v").isNotNull().cast("int")
+    marks = F.array(
+        F.struct(F.col("_us").alias("at"), counts.alias("d"), F.lit(1).alias("n"), F.col("_own").alias("own"), F.col(id_).alias("i")),
+        F.struct(F.least("_end", leaves).alias("at"), (-counts).alias("d"), F.lit(0).alias("n"), F.lit(False).alias("own"), F.lit(None).cast(df.schema[id_].dataType).alias("i")),
+    )
+    steps = both.withColumn("_end", again).select(key, "_slot", F.explode(marks).alias("m")).select(key, "_slot", "m.*")
+    w = Window.partitionBy(key, "_slot").orderBy("at")
+    measured = steps.withColumn("distinct", F.sum("d").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w.rangeBetween(-width + (1 if exclusive else 0), 0)))
+    return measured.where("own").select(key, F.col("i").alias(id_), F.col("total").cast("long"), F.col("distinct").cast("long"))
 
 
 def last_turns(df: DataFrame, session: str, turn: str, vector: str, threshold: float, max_depth: int) -> DataFrame:

@@ -14,12 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all of the cluster's slots where its files are fewer (CPU-bound work follows).
+    """``df`` over all of the cluster's slots where its parts are fewer (CPU-bound work follows).
 
-    A table of many files is read where it lies, without a shuffle.
+    A table of many parts is read where it lies, without a shuffle.  Only their number reaches the driver.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def canonical_uuid(value: Column) -> Column:
