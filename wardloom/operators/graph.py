@@ -57,10 +57,12 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_eve
     if not n:
         return ids.withColumn("rank", F.lit(1.0))
     sinks = cut(ids.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+    loses = not sinks.isEmpty()
     rank = ids.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
         flow = rank.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("r")).withColumnRenamed("dst", "id")
-        lost = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # where every vertex has a way out no rank is lost, and no round needs a job of its own
+        lost = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if loses else 0.0
         base = (1 - damping) / n + damping * lost / n
         rank = ids.join(flow, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("r", F.lit(0.0))).alias("rank"))
         if i % cut_every == 0:
