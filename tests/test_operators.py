@@ -353,6 +353,47 @@ def test_leak_coverage_takes_every_policy(spark, tmp_path):
         assert {r.doc_id: (r.fragment, r.hits, round(r.coverage, 9)) for r in found} == brute(n)
 
 
+def test_leak_coverage_leaves_out_only_what_cannot_win(spark):
+    import random
+    from collections import Counter
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    text = lambda k: " ".join(rng.choice(("ab", "cd", "abc", "e", "the one", "zz")) for _ in range(k))
+    fragments = [text(rng.choice((3, 5, 8, 30, 200))) for _ in range(60)] + ["ab cd e"] * 3
+    outputs = [text(rng.choice((4, 10, 60))) for _ in range(40)] + ["zz " * 50 + "the one"]
+
+    def brute(n, least):
+        grams = lambda t: Counter(t[i : i + n] for i in range(len(t) - n + 1))
+        out = {}
+        for i, o in enumerate(outputs):
+            rated = []
+            for j, f in enumerate(fragments):
+                own = grams(f)
+                hits = sum(k for g, k in grams(o.strip()).items() if g in own)
+                if own and hits >= 4 and hits / len(own) >= least:
+                    rated.append((hits / len(own), hits, j))
+            out |= {i: max(rated)} if rated else {}
+        return out
+
+    f = spark.createDataFrame(list(enumerate(fragments)), "fragment long, text string")
+    o = spark.createDataFrame(list(enumerate(outputs)), "id long, t string")
+    for n, least, block in ((6, 0.2, 1_000_000), (6, 0.0, 4000), (14, 0.3, 3000)):
+        got = lookups.leak_coverage(o, "id", "t", f, n=n, min_hits=4, min_coverage=least, block_bytes=block).collect()
+        assert {r.id: (r.coverage, r.hits, r.fragment) for r in got} == brute(n, least)
+    assert lookups.leak_coverage(o, "id", "t", f.where("false")).count() == 0
+    # an output that has a short fragment whole has no use for the long ones, and their postings are not read
+    long = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(400)) for _ in range(80)]
+    side = pd.DataFrame({"fragment": range(81), "_t": ["the secret recipe", *long]})
+    side["_w"] = [len(lookups._windows([t], 10)[0]) for t in side["_t"]]
+    told = pd.DataFrame({"id": [1], "_t": ["so the secret recipe is " + long[3][:60]], "coverage": [None]})
+    row = lookups._covered(told, side[:1], "id", 10, 8, 0.2).iloc[0]
+    assert (row["fragment"], row["coverage"]) == (0, 1.0) and row["longest"] < side["_w"][1:].min()
+    postings = lookups._Postings(side.sort_values(["_w", "fragment"]), 10)
+    assert len(postings.first) < len(postings.known) / 2
+
+
 def test_domains_canaries_and_marks(spark):
     protected = spark.createDataFrame([("google.com",), ("openai.com",)], "domain string")
     texts = spark.createDataFrame([(1, "see gooogle.com and mail.google.com"), (2, "go to gооgle.com now"), (3, None), (4, "")], "id long, t string")

@@ -187,12 +187,13 @@ def windows(n: int):
     return run
 
 
-def window_ids(codes: np.ndarray, n: int) -> np.ndarray:
+def window_ids(codes: np.ndarray, n: int, base: int = 2) -> np.ndarray:
     """A number for each window of ``n`` codes (from 0), equal exactly where the windows are equal.
 
     As many codes as fit are the digits of one number; longer windows are pairs of shorter ones by rank.
+    With a ``base`` above all codes numbers that need no rank are the same for all calls.
     """
-    base, m = max(2, int(codes.max()) + 1), 1
+    base, m = max(base, int(codes.max()) + 1), 1
     while m < n and base ** (m + 1) < 2**63:
         m += 1
     out = codes[: len(codes) - m + 1].astype(np.int64)

@@ -187,63 +187,199 @@ def leak_coverage(outputs: DataFrame, key: str, text: str, fragments: DataFrame,
     Texts are compared in fingerprint form by windows of ``n`` characters; hits count the output's windows,
     coverage is hits over the fragment's distinct windows.  ``fragments`` has unique fragment and text.
 
-    Common windows lie in most texts, so nearly every output meets nearly every fragment and a join on windows
-    makes a row for each meeting.  Instead both sides are cut into blocks of about ``block_bytes`` and each
-    pair of blocks is counted in one task: work grows with outputs x fragments, memory with the block.
+    Common windows lie in most texts, so a join on windows makes a row for nearly every output and fragment.
+    Instead fragments are put into blocks of about ``block_bytes``, shortest first, and outputs are counted
+    against a whole block in one task.  A fragment of w windows is covered at most by the output's w most
+    frequent windows over w, which falls with w: the best of the shortest block therefore bounds how long a
+    better fragment can be, and only blocks of fragments that short are looked at then.  No pair is left out
+    whose coverage could be as high.
     """
     from wardloom.operators.rewrite import fingerprint_form
 
-    o = cut(outputs.select(F.col(key), fingerprint_form(F.col(text)).alias("_t")).where(F.length("_t") >= n))
-    f = cut(fragments.select("fragment", fingerprint_form(F.col("text")).alias("_t")).where(F.length("_t") >= n))
-    blocks = lambda df: int((df.agg(F.sum(F.length("_t"))).first()[0] or 0) // block_bytes + 1)
-    across, down = blocks(o), blocks(f)
-    o = o.withColumn("_o", F.pmod(F.xxhash64(key), F.lit(across))).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    f = f.withColumn("_f", F.pmod(F.xxhash64("fragment"), F.lit(down))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    cell = (F.col("_o") * down + F.col("_f")).cast("long").alias("_c")
-    # a number of partitions, so that adaptive execution does not merge what is small in bytes but long in work
-    o, f = (df.select(*columns, "_t", cell).repartition(min(across * down, 10_000), "_c") for df, columns in ((o, [key]), (f, ["fragment"])))
-    shape = Y.StructType([o.schema[key], f.schema["fragment"], Y.StructField("hits", Y.LongType()), Y.StructField("coverage", Y.DoubleType())])
-    found = o.groupBy("_c").cogroup(f.groupBy("_c")).applyInPandas(lambda a, b: _covered(a, b, key, n, min_hits, min_coverage), shape)
-    best = found.groupBy(key).agg(F.max(F.struct("coverage", "hits", "fragment")).alias("b"))
+    form = lambda c: fingerprint_form(F.col(c)).alias("_t")
+    o = cut(outputs.select(F.col(key), form(text)).where(F.length("_t") >= n))
+    f = fragments.select("fragment", form("text")).where(F.length("_t") >= n)
+    f = cut(f.withColumn("_w", _distinct_windows(n)(F.col("_t"))).withColumn("_b", F.floor(F.log("_w") * 8).cast("int")))
+    least, place = _length_blocks(f.groupBy("_b").agg(F.sum(F.length("_t")).alias("bytes"), F.min("_w").alias("least")).orderBy("_b").collect(), block_bytes)
+    if not least:
+        return o.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("fragment", f.schema["fragment"].dataType), ("hits", "long"), ("coverage", "double"))]).where("false")
+    within = lambda i: F.element_at(F.create_map(*[F.lit(x) for b, p in place.items() for x in (b, p[i])]), F.col("_b"))
+    f = f.withColumn("_f", within(0) + F.pmod(F.xxhash64("fragment"), within(1)))
+    total = o.agg(F.sum(F.length("_t"))).first()[0] or 0
+    across = max(total // (4 * block_bytes), min(2 * o.sparkSession.sparkContext.defaultParallelism, total * 8 // block_bytes)) + 1
+
+    def counted(outputs: DataFrame, cells: dict[int, int]) -> DataFrame:
+        """``outputs`` (with their block ``_f``) against that block, the outputs of block b in ``cells[b]`` tasks."""
+        starts, at = {}, 0
+        for b, k in cells.items():
+            starts[b], at = at, at + k
+        of = lambda d: F.element_at(F.create_map(*[F.lit(x) for b in d for x in (b, d[b])]), F.col("_f").cast("int"))
+        a = outputs.withColumn("_c", of(starts) + F.pmod(F.xxhash64(key), of(cells)))
+        b = f.where(F.col("_f").isin(list(cells))).withColumn("_c", F.explode(F.sequence(of(starts).cast("long"), (of(starts) + of(cells) - 1).cast("long"))))
+        # a number of partitions, so that adaptive execution does not merge what is small in bytes but long in work
+        a, b = (df.select(*columns, "_t", F.col("_c").cast("long")).repartition(min(at, 10_000), "_c") for df, columns in ((a, [key, "coverage"]), (b, ["fragment", "_w"])))
+        shape = Y.StructType([o.schema[key], o.schema["_t"], f.schema["fragment"], Y.StructField("hits", Y.LongType()), Y.StructField("coverage", Y.DoubleType()), Y.StructField("longest", Y.LongType())])
+        return a.groupBy("_c").cogroup(b.groupBy("_c")).applyInPandas(lambda x, y: _covered(x, y, key, n, min_hits, min_coverage), shape)
+
+    found = counted(o.withColumn("coverage", F.lit(None).cast("double")).withColumn("_f", F.lit(0)), {0: across})
+    if len(least) > 1:
+        found = cut(found)
+        reached = F.size(F.filter(F.array(*map(F.lit, least)), lambda x: x <= F.col("longest")))
+        again = found.where(F.col("longest") >= least[1]).withColumn("_f", F.explode(F.sequence(F.lit(1), reached - 1)))
+        cells = {r["_f"]: r["bytes"] // (4 * block_bytes) + 1 for r in again.groupBy("_f").agg(F.sum(F.length("_t")).alias("bytes")).collect()}
+        if cells:
+            found = found.drop("_t").unionByName(counted(again, cells).drop("_t"))
+    best = found.where("fragment is not null").groupBy(key).agg(F.max(F.struct("coverage", "hits", "fragment")).alias("b"))
     return best.select(key, "b.fragment", "b.hits", "b.coverage")
 
 
-def _covered(outputs: pd.DataFrame, fragments: pd.DataFrame, key: str, n: int, min_hits: int, min_coverage: float) -> pd.DataFrame:
-    """The best fragment of a block for each output of a block; ties by hits, then by the greater fragment."""
+def _length_blocks(levels: list, block_bytes: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """The least windows of each block, and each level's first block and number of blocks; ``levels`` (_b, bytes, least) are ascending."""
+    least, place, room = [], {}, -1
+    for r in levels:
+        parts = r["bytes"] // block_bytes + 1
+        if r["bytes"] <= room:
+            place[r["_b"]] = (len(least) - 1, 1)
+            room -= r["bytes"]
+        else:
+            place[r["_b"]] = (len(least), parts)
+            least += [r["least"]] * parts
+            room = block_bytes - r["bytes"] if parts == 1 else -1
+    return least, place
+
+
+def _codes(text: bytes | np.ndarray) -> np.ndarray:
+    """1 to 37 for digits, letters and the blank of a fingerprint form, 0 for line feeds."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    return np.where(raw >= 97, raw - 86, np.where(raw >= 48, raw - 47, np.where(raw == 32, 37, 0)))
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; by sorting, as numpy's hashing takes ten times as long on these."""
+    numbers = np.sort(numbers)
+    return numbers[np.r_[True, numbers[1:] != numbers[:-1]]]
+
+
+def _windows(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of texts in fingerprint form, and of each window its place among them and its text."""
+    raw = np.frombuffer(("\n".join(texts) + "\n").encode("ascii"), dtype=np.uint8)
+    codes = _codes(raw)
+    ids = arrow.window_ids(codes, n, 38)
+    # no window has a line feed, which stands between texts
+    feeds = np.cumsum(codes == 0)
+    at = np.flatnonzero(feeds[n - 1 :] == np.r_[0, feeds[: len(ids) - 1]])
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[at]
+    names, first, place = np.unique(ids[at], return_index=True, return_inverse=True)
+    if 38**n >= 2**63:  # numbers of long windows are ranks among these texts only
+        names = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, n)[at[first]]).view(f"S{n}").ravel()
+    return names, place, owner
+
+
+def _distinct_windows(n: int):
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(_distinct(arrow.window_ids(_codes(t.encode("ascii")), n, 38))))
+
+    return run
+
+
+def _longest(tops: np.ndarray, least: float) -> int:
+    """Windows that a fragment has at most if its coverage is ``least``; ``tops`` are sums of an output's most frequent windows."""
+    if least <= 0:
+        return 2**62
+    fit = int(np.count_nonzero(tops / np.arange(1, len(tops) + 1) >= least))
+    return fit if fit < len(tops) else int(tops[-1] / least) + 1
+
+
+def _covered(outputs: pd.DataFrame, fragments: pd.DataFrame, key: str, n: int, min_hits: int, min_coverage: float, chunk: int = 1_000_000) -> pd.DataFrame:
+    """For each output of a block its text, the block's best fragment and the windows that a better one has at most.
+
+    Ties by hits, then by the greater fragment: that is the last one, as fragments are sorted by windows.  An
+    output with ``coverage`` looks for a fragment that is as good only.
+    """
+    columns = [key, "_t", "fragment", "hits", "coverage", "longest"]
+    if not len(outputs):
+        return pd.DataFrame([], columns=columns)
+    if outputs[key].duplicated().any():
+        outputs = outputs.groupby(key, dropna=False, sort=False).agg({"_t": "\n".join, "coverage": "first"}).reset_index()
+    index = _Postings(fragments.sort_values(["_w", "fragment"]), n) if len(fragments) else None
     rows: list[tuple] = []
-    if len(outputs) and len(fragments):
-        fragments = fragments.sort_values("fragment")
-        owners, keys = pd.factorize(outputs[key], use_na_sentinel=False)
-        most, texts = len(fragments), [*fragments["_t"], *outputs["_t"]]
-        codes = np.frombuffer(("\n".join(texts) + "\n").encode("ascii"), dtype=np.uint8)
-        codes = np.where(codes >= 97, codes - 86, np.where(codes >= 48, codes - 47, np.where(codes == 32, 37, 0)))
-        sizes = np.array([len(t) for t in texts])
-        grams = arrow.window_ids(codes, n)
-        # a text's windows end before the line feed after it
-        whole = np.arange(len(grams), dtype=np.int32) + n <= np.repeat((np.cumsum(sizes + 1) - 1).astype(np.int32), sizes + 1)[: len(grams)]
-        grams, owner = grams[whole], np.repeat(np.r_[np.arange(most), most + owners].astype(np.int32), sizes + 1)[: len(whole)][whole]
-        split = int((sizes[:most] - n + 1).sum())
-        known, rank = np.unique(grams[:split], return_inverse=True)
-        pairs = np.unique(rank * most + owner[:split])
-        posted = pairs % most
-        windows = np.bincount(posted, minlength=most)
-        ends = np.cumsum(np.bincount(pairs // most, minlength=len(known))).tolist()
-        starts = [0, *ends[:-1]]
-        at = np.minimum(np.searchsorted(known, grams[split:]), len(known) - 1)
-        hit = known[at] == grams[split:]
-        met, times = np.unique((owner[split:][hit].astype(np.int64) - most) * len(known) + at[hit], return_counts=True)
-        bounds = np.searchsorted(met, np.arange(len(keys) + 1) * len(known))
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            hits = np.zeros(most, dtype=np.int64)
-            own, often = met[a:b] - i * len(known), times[a:b]
-            for k in np.unique(often):
-                hits += k * np.bincount(np.concatenate([posted[starts[g] : ends[g]] for g in own[often == k].tolist()]), minlength=most)
-            coverage = np.where((hits >= min_hits) & (hits / windows >= min_coverage), hits / windows, -1.0)
-            if (top := coverage.max()) >= 0:
-                level = np.flatnonzero(coverage == top)
-                j = level[hits[level] == hits[level].max()][-1]
-                rows.append((keys[i], fragments["fragment"].iat[j], int(hits[j]), float(top)))
-    return pd.DataFrame(rows, columns=[key, "fragment", "hits", "coverage"])
+    part = (outputs["_t"].str.len().cumsum() // chunk).to_numpy()
+    for _, some in outputs.groupby(part):
+        names, place, owner = _windows([*some["_t"]], n)
+        pairs, times = np.unique(owner * len(names) + place, return_counts=True)
+        who, what = np.divmod(pairs, len(names))
+        own = np.searchsorted(who, np.arange(len(some) + 1))
+        met, weight, ends = index.met(names, who, what, times, len(some)) if index else (None, None, None)
+        for i, (k, text, known) in enumerate(zip(some[key], some["_t"], some["coverage"], strict=True)):
+            tops = np.cumsum(np.sort(times[own[i] : own[i + 1]])[::-1])
+            least, best = max(min_coverage, 0.0 if pd.isna(known) else known), None
+            if tops[-1] < min_hits:
+                rows.append((k, text, None, None, None, 0))
+                continue
+            if index:
+                own_met = slice(ends[i], ends[i + 1])
+                best, least = index.best(met[own_met], weight[own_met], tops, least, min_hits, pd.isna(known))
+            name, hits, coverage = best or (None, None, None)
+            rows.append((k, text, name, hits, coverage, min(_longest(tops, least), 2**62)))
+    out = pd.DataFrame(rows, columns=columns)
+    out["hits"] = out["hits"].astype("Int64")
+    return out
+
+
+class _Postings:
+    """Fragments by window.  Windows that lie in the same fragments are one class with one list of them."""
+
+    def __init__(self, fragments: pd.DataFrame, n: int):
+        self.names = fragments["fragment"].to_numpy()
+        most = self.most = len(fragments)
+        names, place, owner = _windows([*fragments["_t"]], n)
+        self.known, rank = np.unique(names, return_inverse=True)
+        window, self.posted = np.divmod(_distinct(rank[place] * most + owner), most)
+        self.windows = np.bincount(self.posted, minlength=most)
+        sizes = np.bincount(window, minlength=len(self.known))
+        starts = np.cumsum(sizes) - sizes
+        # lists of equal sums are compared in full, what differs is a class of its own
+        sums = np.add.reduceat(np.random.default_rng(0).integers(0, 2**62, most)[self.posted], starts)
+        _, first, self.kind = np.unique(sums, return_index=True, return_inverse=True)
+        like = first[self.kind]
+        there = np.minimum(np.arange(len(window)) + (starts[like] - starts)[window], len(window) - 1)
+        odd = np.flatnonzero((sizes != sizes[like]) | (np.bincount(window, self.posted[there] != self.posted, minlength=len(sizes)) > 0))
+        self.kind[odd] = len(first) + np.arange(len(odd))
+        self.first = np.r_[first, odd]
+        # where each list has come to at some sixteen numbers of fragments
+        self.stops = np.unique(np.linspace(0, most, 17).astype(int)[1:])
+        upto = np.bincount(window * len(self.stops) + np.searchsorted(self.stops, self.posted, "right"), minlength=len(sizes) * len(self.stops))
+        self.ends = starts[self.first][:, None] + np.cumsum(upto.reshape(len(sizes), -1)[self.first], axis=1)
+        self.starts = starts[self.first]
+
+    def met(self, names: np.ndarray, who: np.ndarray, what: np.ndarray, times: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes that outputs have, how often, and where the next output's begin."""
+        at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
+        kind = np.where(self.known[at] == names, self.kind[at], -1)[what]
+        hit = kind >= 0
+        both, place = np.unique(who[hit] * len(self.first) + kind[hit], return_inverse=True)
+        weight = np.bincount(place, times[hit], minlength=len(both))
+        return both % len(self.first), weight, np.searchsorted(both, np.arange(texts + 1) * len(self.first))
+
+    def best(self, met: np.ndarray, weight: np.ndarray, tops: np.ndarray, least: float, min_hits: int, new: bool) -> tuple[tuple | None, float]:
+        """(fragment, hits, coverage) of the best fragment with that coverage, if any, and what a better one must have."""
+        found, done, begin = None, 0, self.starts[met]
+        while (stop := int(np.searchsorted(self.windows, _longest(tops, least), "right"))) > done and len(met):
+            if new and not done:  # the shortest ones say how far to go on
+                stop = min(stop, max(64, self.most // 8))
+            at = int(np.searchsorted(self.stops, stop))
+            stop, end = int(self.stops[at]), self.ends[met, at]
+            some = np.flatnonzero(end > begin)
+            if len(some):
+                lists = [self.posted[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist())]
+                hits = np.bincount(np.concatenate(lists), np.repeat(weight[some], (end - begin)[some]), minlength=stop)[done:]
+                coverage = np.where(hits >= min_hits, hits / self.windows[done:stop], -1.0)
+                if (top := float(coverage.max())) >= least:
+                    j = int(np.flatnonzero(coverage == top)[-1])
+                    found, least = (self.names[done + j], int(hits[j]), top), top
+            done, begin = stop, end
+        return found, least
 
 
 # Shapes of citations.
