@@ -425,6 +425,38 @@ def test_graph(spark):
     assert graph.page_rank(e.where("false")).count() == 0
 
 
+def test_cycles_write_no_pairs_of_starts_and_vertices(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    e = {(rng.randrange(400), rng.randrange(400)) for _ in range(2500)} | {(i, 1000) for i in range(0, 400, 7)} | {(2000 + i, 2000 + (i + 1) % 5) for i in range(5)} | {(3, 3)}
+    after = {}
+    for a, b in e:
+        if a != b:
+            after.setdefault(a, set()).add(b)
+    want = {}
+    for s in after:
+        at = {s}
+        for n in range(1, 6):
+            at = set().union(*(after.get(a, ()) for a in at))
+            if n > 1 and s in at:
+                want[s] = n
+                break
+    written = []
+
+    def counted(df, cut=graph.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    df = spark.createDataFrame(sorted(e) * 2, "src long, dst long")
+    assert {r.start: r.length for r in graph.cycles(df, 5, block=1000).collect()} == want
+    assert set(want.values()) == {2, 3, 4, 5} and sum(written) < 3 * len(e)
+    named = df.select(F.concat(F.lit("u"), "src").alias("src"), F.concat(F.lit("u"), "dst").alias("dst"))
+    assert {r.start: r.length for r in graph.cycles(named, 5).collect()} == {f"u{s}": n for s, n in want.items()}
+
+
 def chains(spark, folder, *walks):
     """Events whose edges are the steps of each walk; walk and hour are the same, so only its kind tells them apart."""
     rows = [(i * 100 + n, user, kind, BASE + timedelta(hours=i, minutes=n), 1.0) for i, (kind, walk) in enumerate(walks) for n, user in enumerate(walk)]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from wardloom.session import cut
 
@@ -28,23 +33,82 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, allowed: DataFrame | No
     return seen.where("hops > 0")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 4, block: int = 8_000_000) -> DataFrame:
     """(start, length): vertices on a closed walk of 2 to ``longest`` distinct edges, with its least length.
 
-    Reachability back to the start is found level by level on distinct (start, vertex) pairs, so long
-    lists of paths are never made, and a start whose least length is known goes no further.
+    A walk is looked for from both ends: what a start reaches in half the steps, one edge, and what reaches the
+    start in the other half.  Neighbours are lists; starts and middle vertices are cut into blocks of at most
+    ``block`` edges or so, and each pair of blocks is one task that stops at a start's first closed walk.  So no
+    list of paths is made, and a start whose least length is known goes no further.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    level = e.select(F.col("src").alias("start"), F.col("dst").alias("at"))
-    found = None
-    seen = level
-    for n in range(2, longest + 1):
-        step = level.join(e, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
-        closed = step.where("start = at").select("start", F.lit(n).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        level = cut(step.where("start <> at").join(seen, ["start", "at"], "left_anti").join(closed, "start", "left_anti"))
-        seen = seen.unionByName(level)
-    return found.groupBy("start").agg(F.min("length").alias("length"))
+    up, down = F.col("src") < F.col("dst"), F.col("src") > F.col("dst")
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(up).alias("up"), F.max(down).alias("down"))
+    ways = F.array(F.when(F.col("up"), F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))), F.when(F.col("down"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    e = cut(pairs.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w"), (F.col("up") & F.col("down")).alias("both")).select("w.*", "both"))
+    outs = cut(e.groupBy(F.col("src").alias("k")).agg(F.collect_list("dst").alias("vs")))
+    ins = cut(e.groupBy(F.col("dst").alias("k")).agg(F.collect_list("src").alias("vs")))
+    found = cut(e.where("both").select(F.col("src").alias("start")).distinct().withColumn("length", F.lit(2)))
+    slots = e.sparkSession.sparkContext.defaultParallelism
+    many = e.count()
+    across = max(-(-many // block), min(math.isqrt(slots - 1) + 1, many // 100_000 + 1))
+    open_ = outs.join(ins, "k", "left_semi").select(F.col("k").alias("start"))
+    for n in range(3, longest + 1):
+        open_ = cut(open_.join(found, "start", "left_anti"))
+        if open_.isEmpty():
+            break
+        ahead = (n - 1) // 2
+        closed = _closing(_within(open_, outs, ahead), outs, _within(open_, ins, n - 1 - ahead), across)
+        found = found.unionByName(cut(closed.withColumn("length", F.lit(n))))
+    return found
+
+
+def _within(starts: DataFrame, lists: DataFrame, steps: int) -> DataFrame:
+    """(start, vs): what each start comes to in so many steps along ``lists`` (k, vs)."""
+    level = lists.join(starts, F.col("k") == F.col("start"), "left_semi").select(F.col("k").alias("start"), "vs")
+    for _ in range(steps - 1):
+        step = level.select("start", F.explode("vs").alias("k")).join(lists, "k").select("start", F.explode("vs").alias("v")).where("v <> start")
+        level = step.repartition("start").groupBy("start").agg(F.collect_set("v").alias("vs"))
+    return level
+
+
+def _closing(ahead: DataFrame, outs: DataFrame, behind: DataFrame, across: int) -> DataFrame:
+    """(start): those with an edge from ``ahead`` (start, vs) to ``behind`` (start, vs); ``outs`` (k, vs) are the edges."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(across))
+    every = F.explode(F.sequence(F.lit(0), F.lit(across - 1)).cast("array<long>"))
+    split = F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: F.struct(j.cast("long").alias("_j"), F.filter("vs", lambda v: place(v) == j).alias("vs")))
+    x = ahead.select(F.lit(0).alias("kind"), F.col("start").alias("k"), place("start").alias("_i"), F.explode(split).alias("p")).select("kind", "k", "_i", "p.*").where(F.size("vs") > 0)
+    e = outs.select(F.lit(1).alias("kind"), "k", place("k").alias("_j"), "vs").withColumn("_i", every)
+    y = behind.select(F.lit(2).alias("kind"), F.col("start").alias("k"), place("start").alias("_i"), "vs").withColumn("_j", every)
+    parts = x.unionByName(e).unionByName(y).select((F.col("_i") * across + F.col("_j")).alias("_c"), "kind", "k", "vs")
+    # a number of partitions, so that adaptive execution does not merge what is small in bytes but long in work
+    parts = parts.repartition(min(across * across, 10_000), "_c")
+    shape = Y.StructType([Y.StructField("start", outs.schema["k"].dataType)])
+    return parts.groupBy("_c").applyInPandas(_closed, shape).distinct()
+
+
+def _closed(part: pd.DataFrame) -> pd.DataFrame:
+    x, e, y = (part[part["kind"] == kind] for kind in range(3))
+    starts = []
+    if len(x) and len(e) and len(y):
+        bounds = lambda lists: np.r_[0, np.cumsum([len(v) for v in lists])]
+        after, before = bounds(e["vs"]), bounds(y["vs"])
+        ids, names = pd.factorize(np.concatenate([*e["vs"], *y["vs"]]))
+        heads, tails = ids[: after[-1]], ids[after[-1] :]
+        lists = np.split(heads, after[1:-1])
+        at = {k: i for i, k in enumerate(y["k"])}
+        middles = pd.Index(e["k"])
+        marked = np.zeros(len(names), dtype=bool)
+        for start, vs in zip(x["k"], x["vs"]):
+            if (i := at.get(start)) is None:
+                continue
+            own = tails[before[i] : before[i + 1]]
+            marked[own] = True
+            mids = middles.get_indexer(vs)
+            mids = mids[mids >= 0].tolist()
+            if any(marked[np.concatenate([lists[m] for m in mids[j : j + 64]])].any() for j in range(0, len(mids), 64)):
+                starts.append(start)
+            marked[own] = False
+    return pd.DataFrame({"start": pd.Series(starts, dtype=part["k"].dtype)})
 
 
 def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
